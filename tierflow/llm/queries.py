@@ -8,6 +8,11 @@ from .base import table
 from .licenses import scan
 from .packing import pack
 from .quality import judge
+from .simhash import near_duplicates
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +28,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op8_packing": op8_packing,
     "op10_license_scan": op10_license_scan,
