@@ -9,6 +9,7 @@ from .licenses import scan
 from .packing import pack
 from .quality import judge
 from .simhash import near_duplicates
+from .toxicity import score
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
 }
 
