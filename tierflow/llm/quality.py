@@ -166,7 +166,7 @@ def distance() -> Column:
 def estimates(rows: DataFrame, *, half: float, chunk: int, least: int, steps: int) -> DataFrame:
     """An MCD estimate for each group (gl, gs) of rows(gl, gs, doc_id, x0..x4)."""
     group = ["gl", "gs"]
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n_group")).where(F.col("n_group") >= least)
+    sizes = settle(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n_group")).where(F.col("n_group") >= least), "sizes")
     sized = rows.join(sizes, group)
     part = F.pmod(F.xxhash64("doc_id", *VECTOR), F.ceil(F.col("n_group") / F.lit(chunk))).cast("int")
 
@@ -174,7 +174,9 @@ def estimates(rows: DataFrame, *, half: float, chunk: int, least: int, steps: in
         mean, cov = chunk_start(pdf[list(VECTOR)].to_numpy(dtype=np.float64), half)
         return pd.DataFrame([_params(pdf["gl"].iloc[0], pdf["gs"].iloc[0], mean, cov)])
 
-    first = sized.select(*group, part.alias("part"), *VECTOR).groupBy(*group, "part").applyInPandas(starts, _PARAMS)
+    # dealt by chunk: a large group's rows must not follow the join's key into one task
+    dealt = sized.select(*group, part.alias("part"), *VECTOR).repartition(*group, "part")
+    first = dealt.groupBy(*group, "part").applyInPandas(starts, _PARAMS)
     names = [f.split()[0] for f in _PARAMS.split(", ")]
     now = first.groupBy(*group).agg(F.min_by(F.struct(*names[2:]), F.struct("logdet", *names[2:-1])).alias("p")).select(*group, "p.*")
 
