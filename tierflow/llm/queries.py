@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .base import table
 from .chat import format_chat, read_back
 from .licenses import scan
+from .media import media_columns
 from .mixing import mix
 from .packing import pack
 from .quality import judge
 from .simhash import near_duplicates
 from .toxicity import score
+from .warc import capture_histories
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +35,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture_histories(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -50,6 +60,8 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op6_media": op6_media,
+    "op7_warc": op7_warc,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
