@@ -13,9 +13,9 @@ before it in the slice; so no task has to hold a source. Only the sources' token
 driver; where there are more than `max_sources` sources the weights stay in a table that is joined.
 
 Tokens are words: runs of other characters than \\x20 and \\x09-\\x0D, one at least for each row.
-Defined results: null source is the source named ""; null text has one token; repeated rows are
-permuted among themselves by their order in the hash, all taken alike; an empty table gives no rows;
-extra columns are kept.
+Defined results: null source is the source named ""; null text has one token; repeated rows have
+one hash and one place, and are all taken alike; an empty table gives no rows;
+extra columns are kept by mixed_documents() and ignored by mix().
 """
 
 from __future__ import annotations
@@ -76,6 +76,11 @@ def n_tokens():
     return F.greatest(F.coalesce(F.regexp_count("text", F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("long"), F.lit(1).cast("long"))
 
 
+def _order(pass_column: str):
+    """The hash that permutes a source's rows in a pass."""
+    return F.xxhash64(F.col(pass_column).cast("int"), F.col("doc_id").cast("long"), "mix_source", "mix_tokens")
+
+
 def plan(totals: dict[str, int], *, target_entropy: float | None, max_passes: float | None, budget: int | None) -> tuple[float, dict[str, float], float]:
     """Exponent, weights and budget in tokens; the default budget is the least that takes each document once."""
     a = find_exponent(totals, target_entropy=target_entropy, max_passes=max_passes, budget=budget)
@@ -93,7 +98,7 @@ def mix(
     slice_rows: int = 50_000,
     max_sources: int = 100_000,
 ) -> DataFrame:
-    """The rows taken, with their columns and mix_source, mix_tokens, mix_weight, mix_pass, mix_position, mix_block, mix_order.
+    """The rows taken: doc_id, mix_source, mix_tokens, mix_weight, mix_pass, mix_position, mix_block, mix_order, mix_hash.
 
     mix_position is the row's first token in its source's stream, mix_block the block it falls in,
     mix_order a hash by which rows of a block are shuffled.
@@ -115,26 +120,33 @@ def mix(
     )
     drawn = slim.join(F.broadcast(goals), "mix_source")  # at most max_sources rows
     passes = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("goal") / F.col("total")) - 1, F.lit(0)).cast("int"))).alias("mix_pass")
-    drawn = drawn.select("*", passes).withColumn("h", F.xxhash64("mix_pass", "doc_id", "mix_source", "mix_tokens"))
-    drawn = drawn.withColumn("slice", F.shiftright(F.shiftrightunsigned("h", 32) * F.col("slices"), 32).cast("int"))
+    drawn = drawn.select("*", passes).withColumn("h", _order("mix_pass"))
+    drawn = drawn.withColumn("slice", F.shiftright((F.shiftright("h", 32) + F.lit(1 << 31)) * F.col("slices"), 32).cast("int"))
     key = ["mix_source", "mix_pass", "slice"]
     parts = drawn.groupBy(*key).agg(F.sum("mix_tokens").alias("in_slice"))
     before = Window.partitionBy("mix_source", "mix_pass").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(*key, F.coalesce(F.sum("in_slice").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy(*key).orderBy(F.shiftrightunsigned("h", 1), "h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = drawn.withColumn("run", F.sum("mix_tokens").over(inside) - F.col("mix_tokens")).join(offsets, key)
+    inside = Window.partitionBy(*key).orderBy("h").rangeBetween(Window.unboundedPreceding, 0)  # rows of one hash have one place
+    peers = Window.partitionBy(*key, "h")
+    placed = drawn.withColumn("run", F.sum("mix_tokens").over(inside) - F.sum("mix_tokens").over(peers)).join(offsets, key)
     at = F.col("mix_pass") * F.col("total") + F.col("offset") + F.col("run")
     taken = placed.withColumn("mix_position", at.cast("long")).where(F.col("mix_position") < F.col("goal"))
     return taken.select(
         "doc_id", "mix_source", "mix_tokens", "mix_weight", "mix_pass", "mix_position",
         F.floor(F.col("mix_position") / (F.col("mix_weight") * block)).cast("long").alias("mix_block"),
-        F.xxhash64(F.lit("order"), "doc_id", "mix_pass").alias("mix_order"),
+        F.xxhash64(F.lit("order"), "doc_id", "mix_pass").alias("mix_order"), F.col("h").alias("mix_hash"),
     )
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents themselves, each as often as it is taken; doc_id is taken to be unique."""
-    times = mix(docs, **how).groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    # nulls match nulls: a document without an id is taken like any other
-    key = docs["doc_id"].cast("long").eqNullSafe(times["doc_id"])
-    return docs.join(times, key).select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("times"))).alias("_copy")).drop("_copy")
+    """The documents themselves, each as often as mix() takes it, from one map over docs.
+
+    What mix() takes of a source's last pass are the rows up to a hash, so a source's last pass and
+    that hash (at most `max_sources` rows) decide over each row.
+    """
+    taken = mix(docs, **how)
+    last = taken.groupBy("mix_source").agg(F.max(F.struct(F.col("mix_pass"), F.col("mix_hash"))).alias("last"))
+    cuts = F.broadcast(settle(last, "cuts"))
+    slim = docs.withColumns({"mix_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "mix_tokens": n_tokens()}).join(cuts, "mix_source")
+    times = F.col("last.mix_pass") + (_order("last.mix_pass") <= F.col("last.mix_hash")).cast("int")
+    return slim.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).drop("_copy")

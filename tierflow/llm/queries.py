@@ -10,6 +10,7 @@ from .licenses import scan
 from .media import media_columns
 from .mixing import mix
 from .packing import pack
+from .pii import spans_report
 from .quality import judge
 from .simhash import near_duplicates
 from .toxicity import score
@@ -23,6 +24,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chat(turns.unionByName(own)))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans_report(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,

@@ -179,3 +179,9 @@ def group(docs: DataFrame, *, radius: int = 2) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, radius: int = 2) -> DataFrame:
     """As group(), with the fingerprint as 16 hexadecimal digits."""
     return group(docs, radius=radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, *, radius: int = 2) -> DataFrame:
+    """The rows of docs, all columns, that stay: of each group the smallest doc_id. Rows without an id stay."""
+    gone = settle(group(docs, radius=radius).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")

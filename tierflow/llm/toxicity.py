@@ -273,3 +273,19 @@ def score(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, **sampl
         if lang is not None:
             own = F.when(F.col("lang") == lang, F.lit(t)).otherwise(own)
     return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "lang", own.alias("threshold"), (F.col("score") >= own).alias("rejected"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, **sample) -> DataFrame:
+    """The rows of docs, all columns, that score() wouldn't reject: one map over docs."""
+    small_batches(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **sample))
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(batches):
+        words, limits = Words(), model.value.thresholds
+        common = limits.get(None, 0.7)
+        for b in batches:
+            s = model.value.scores([words.rows(t.as_py()) for t in b.column(text)]) if b.num_rows else np.zeros(0)
+            yield b.filter(pa.array(s < np.array([limits.get(x, common) for x in b.column(lang).to_pylist()], dtype=np.float64), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
