@@ -1,13 +1,13 @@
 """Connected components of an undirected graph, by contraction rounds of joins.
 
-In a round every node takes the smallest node among itself and its neighbours as its parent, edges
-are redrawn between parents and made distinct, and loops go. Every node that isn't a local minimum
-leaves, so at least half of the nodes that still have edges go in a round. The parents of all rounds
+In a round every node takes the node with the smallest hash among itself and its neighbours as its
+parent, edges are redrawn between parents and made distinct, and loops go. Every node that isn't a
+local minimum leaves; minima are spread at random, whatever the ids mean, so the rounds are few even
+for long paths. The parents of all rounds
 are then composed from the last to the first. Each round is written to the shared folder, so lineage
 stays short and a lost executor costs a task, not the run. Nothing but a row count reaches the driver.
 
-Node ids should be unrelated to closeness (a mixed hash): then parents are spread at random and few
-rounds are needed. A hub's edges meet in partial minima before the shuffle; joins on nodes are left
+A hub's edges meet in partial minima before the shuffle; joins on nodes are left
 to adaptive skew handling.
 """
 
@@ -27,7 +27,9 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
         if edges.isEmpty():
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parents = settle(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")).withColumnRenamed("a", "node"), "parents")
+        first = both.groupBy("a").agg(F.min_by("b", F.xxhash64("b")).alias("m"))
+        parent = F.when(F.xxhash64("m") < F.xxhash64("a"), F.col("m")).otherwise(F.col("a"))
+        parents = settle(first.select(F.col("a").alias("node"), parent.alias("p")), "parents")
         levels.append(parents)
         pa, pb = parents.toDF("a", "pa"), parents.toDF("b", "pb")
         drawn = edges.join(pa, "a").select("b", F.col("pa")).join(pb, "b").where("pa <> pb")

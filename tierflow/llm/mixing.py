@@ -95,7 +95,7 @@ def mix(
     max_passes: float | None = 2.0,
     budget: int | None = None,
     block: int = 1_000_000,
-    slice_rows: int = 50_000,
+    slice_rows: int = 5_000,
     max_sources: int = 100_000,
 ) -> DataFrame:
     """The rows taken: doc_id, mix_source, mix_tokens, mix_weight, mix_pass, mix_position, mix_block, mix_order, mix_hash.
@@ -147,6 +147,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     taken = mix(docs, **how)
     last = taken.groupBy("mix_source").agg(F.max(F.struct(F.col("mix_pass"), F.col("mix_hash"))).alias("last"))
     cuts = F.broadcast(settle(last, "cuts"))
-    slim = docs.withColumns({"mix_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "mix_tokens": n_tokens()}).join(cuts, "mix_source")
+    # the row travels as one column, so its other columns may have any names
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    slim = docs.select(row, "doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("mix_source"), n_tokens().alias("mix_tokens")).join(cuts, "mix_source")
     times = F.col("last.mix_pass") + (_order("last.mix_pass") <= F.col("last.mix_hash")).cast("int")
-    return slim.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).drop("_copy")
+    return slim.select(F.explode(F.array_repeat(F.col("row"), times)).alias("row")).select("row.*")

@@ -97,7 +97,7 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(text, NOT_LETTERS)), "")
 
 
-def _sized(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
+def _sized(df: DataFrame, limit: int = 250_000) -> DataFrame:
     """Broadcast a settled table of words only where it is known to be small; else the planner's join."""
     return F.broadcast(df) if df.count() <= limit else df
 
@@ -191,7 +191,7 @@ def sanitise(docs: DataFrame, **how) -> DataFrame:
         return F.when(s["start"] >= acc["at"], fresh).otherwise(within)
 
     whole = F.aggregate(spans, start, add, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    was_null = docs.withColumn("_was_null", F.col("text").isNull())
-    found = find(was_null, **how)
-    clean = F.when(F.col("_was_null"), F.lit(None)).when(F.size(spans) > 0, whole).otherwise(text)
-    return found.withColumn("text", clean).select(*docs.columns)
+    # the row travels as one column, so its other columns may have any names
+    found = find(docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), **how)
+    clean = F.when(F.col("row.text").isNull(), F.lit(None)).when(F.size(spans) > 0, whole).otherwise(text)
+    return found.select(F.col("row").withField("text", clean).alias("row")).select("row.*")
