@@ -4,11 +4,12 @@ A word's vector is the sum of two hashed embeddings, of the word and of its firs
 of several widths slide over the word vectors of the whole text, the largest response of each filter
 is kept, and a logistic unit scores the pooled responses. Embeddings start from the log-odds of the
 words among toxic and other training texts in one dimension and small random values in the rest;
-all weights are then trained by Adam. A part of the training rows, kept aside, scales the logits to
-probabilities at the labels' own share of toxic rows and sets a threshold for each language.
+all weights are then trained by Adam. A part of the training rows, kept aside, scales the logits at
+the labels' own share of toxic rows, so that the best common threshold is 0.7, and sets a threshold
+for each language.
 
 The score depends on the text alone. The fit uses a bounded sample of labelled rows: at most
-`per_class` of each label, smallest hash of the id first, and `max_chars` characters in all; the
+`toxic_rows` and `other_rows` of the labels, smallest hash of the id first, and `max_chars` characters; the
 model's size is fixed, so it can be broadcast. Scoring is one map over the input, no shuffle.
 
 Defined results: null and empty texts get the score of a text without words; without labelled
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .base import small_batches
 
-BUCKETS, DIM, FILTERS, WIDTHS, STEM = 1 << 15, 16, 12, (1, 2, 3), 6
+BUCKETS, DIM, FILTERS, WIDTHS, STEM = 1 << 17, 16, 12, (1, 2, 3), 6
+POINT = 0.7
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, lang string, threshold double, rejected boolean"
 
 #: Bytes that end a word: all of ASCII but the letters (texts are lower-cased before).
@@ -53,7 +55,7 @@ class Words(dict):
             self.clear()
         ws = (text or "").lower().encode().translate(_LETTERS).split()
         k = np.fromiter(map(self.__getitem__, ws), dtype=np.int64, count=len(ws))
-        return np.stack([k // BUCKETS, k % BUCKETS], axis=1)
+        return np.stack([k // BUCKETS, k % BUCKETS], axis=1).astype(np.int32)
 
 
 class Model:
@@ -80,7 +82,7 @@ class Model:
         pad = max(WIDTHS) - 1
         sizes = np.array([len(d) for d in docs])
         starts = np.concatenate([[0], np.cumsum(sizes + pad)[:-1]])
-        rows = np.concatenate([np.concatenate([d, np.full((pad, 2), -1)]) for d in docs]).astype(np.int64)
+        rows = np.concatenate([np.concatenate([d, np.full((pad, 2), -1, dtype=np.int32)]) for d in docs])
         x = self.embed[0][rows[:, 0]] + self.embed[1][rows[:, 1]]
         x[rows[:, 0] < 0] = 0
         n = len(rows)
@@ -116,13 +118,13 @@ class Model:
             return np.full(len(docs), self.constant)
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(docs).astype(np.float64) + self.shift, -50, 50)))
 
-    def gradients(self, docs: list[np.ndarray], y: np.ndarray) -> list[np.ndarray]:
+    def gradients(self, docs: list[np.ndarray], y: np.ndarray) -> list:
+        """In the order of params(); of the embeddings (rows, their gradients): most rows have none."""
         pooled, (x, rows, places) = self.forward(docs, trace=True)
         z = pooled @ self.out + self.out_bias
         dz = (1 / (1 + np.exp(-z)) - y) / len(docs)
         d_pool = dz[:, None] * self.out * (pooled > 0)
-        g_embed = [np.zeros_like(e) for e in self.embed]
-        g_conv, g_bias = [], []
+        g_conv, g_bias, touched, moves = [], [], ([], []), []
         for i, k in enumerate(WIDTHS):
             d = d_pool[:, i * FILTERS : (i + 1) * FILTERS]
             g = np.zeros_like(self.conv[k])
@@ -131,11 +133,17 @@ class Model:
                 inside = (places[i] + j < len(rows)) & (rows[at, 0] >= 0)
                 dd = d * inside
                 g[j] = np.einsum("bf,bfd->df", dd, x[at])
-                dx = dd[:, :, None] * self.conv[k][j].T[None]
+                moves.append((dd[:, :, None] * self.conv[k][j].T[None]).reshape(-1, DIM))
                 for t in (0, 1):
-                    np.add.at(g_embed[t], np.where(inside, rows[at, t], 0), dx)
+                    touched[t].append(np.where(inside, rows[at, t], 0).ravel())
             g_conv.append(g)
             g_bias.append(d.sum(axis=0))
+        moves, g_embed = np.concatenate(moves), []
+        for t in (0, 1):
+            own, place = np.unique(np.concatenate(touched[t]), return_inverse=True)
+            g = np.zeros((len(own), DIM), dtype=moves.dtype)
+            np.add.at(g, place, moves)
+            g_embed.append((own, g))
         return [*g_embed, *g_conv, *g_bias, pooled.T @ dz, dz.sum(keepdims=True)]
 
 
@@ -166,9 +174,10 @@ def fit(texts: list[str], toxic: np.ndarray, langs: list[str | None], share: flo
             some = order[at : at + batch]
             step += 1
             for i, g in enumerate(model.gradients([docs[k] for k in some], toxic[some].astype(np.float32))):
-                m[i] += 0.1 * (g - m[i])
-                v[i] += 0.001 * (g * g - v[i])
-                now[i] -= (rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
+                at, g = g if isinstance(g, tuple) else (slice(None), g)  # rows without a gradient rest
+                m[i][at] += 0.1 * (g - m[i][at])
+                v[i][at] += 0.001 * (g * g - v[i][at])
+                now[i][at] -= (rate * (m[i][at] / (1 - 0.9**step)) / (np.sqrt(v[i][at] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
         if (q := rank_quality(model.logits(apart), y_apart)) > best:
             best, kept = q, [p.copy() for p in now]
     for p, k in zip(now, kept):  # the weights of the best round, the start included
@@ -208,29 +217,38 @@ def calibrate(model: Model, z: np.ndarray, y: np.ndarray, langs: list[str | None
         ab = ab - size * step
     model.scale = max(float(ab[0]), 1e-3) / spread
     model.shift = float(ab[1]) - model.scale * mid
-    p = 1 / (1 + np.exp(-np.clip(model.scale * z + model.shift, -50, 50)))
-
-    def best(pick: np.ndarray) -> float:
-        """The threshold from 0.5 to 0.9 with the largest weighted F1; the middle of equal ones."""
-        grid = np.linspace(0.5, 0.9, 41)
-        f1 = [2 * (w1 := weight[pick & (p >= t) & (y == 1)].sum()) / (w1 + weight[pick & (p >= t) & (y == 0)].sum() + weight[pick & (y == 1)].sum() + 1e-12) for t in grid]
-        return float(np.median(grid[np.isclose(f1, max(f1))]))
 
+    def best(p: np.ndarray, pick: np.ndarray, low: float) -> float:
+        """The threshold from `low` to 0.9 with the largest weighted F1; the middle of equal ones."""
+        grid = np.linspace(low, 0.9, 71)
+        hit = [weight[pick & (p >= t) & (y == 1)].sum() for t in grid]
+        miss = [weight[pick & (p >= t) & (y == 0)].sum() for t in grid]
+        f1 = 2 * np.array(hit) / (np.array(hit) + np.array(miss) + weight[pick & (y == 1)].sum() + 1e-12)
+        return float(np.median(grid[np.isclose(f1, f1.max())]))
+
+    def scaled() -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(model.scale * z + model.shift, -50, 50)))
+
+    # the best common threshold is moved to POINT, where scores are cut
+    every = np.ones(len(y), dtype=bool)
+    t = best(scaled(), every, 0.2)
+    model.shift += float(np.log(POINT / (1 - POINT)) - np.log(t / (1 - t)))
+    p = scaled()
     langs = np.array([x or "" for x in langs])
-    model.thresholds[None] = best(np.ones(len(y), dtype=bool))
+    model.thresholds[None] = POINT
     for x in sorted(set(langs.tolist()) - {""}):
         pick = langs == x
         if (y[pick] == 1).sum() >= 10 and (y[pick] == 0).sum() >= 10:
-            model.thresholds[x] = best(pick)
+            model.thresholds[x] = best(p, pick, 0.5)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000, max_chars: int = 24_000_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = 2000, other_rows: int = 4000, max_chars: int = 40_000_000) -> Model:
     """Fit on labelled rows outside the held-out third: see the module's text for the sample."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = []
     for kind in (0, 1):
-        picked += [(r["doc_id"], kind) for r in known.where(F.col("toxic") == kind).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
+        picked += [(r["doc_id"], kind) for r in known.where(F.col("toxic") == kind).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(toxic_rows if kind else other_rows).collect()]
     if not picked:
         return fit([], np.zeros(0), [], 0.0)
     sample = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")
@@ -250,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000, max_char
     return fit(got["text"].to_pylist(), got["toxic"].to_numpy().astype(np.int64), got["lang"].to_pylist(), counts.get(1, 0) / total)
 
 
-def score(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, **sample) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, threshold: float = POINT, **sample) -> DataFrame:
     """Rows as in SCHEMA for each row of docs(doc_id, text, lang).
 
     predicted is by the one threshold, rejected by the threshold of the row's language.
@@ -283,7 +301,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, **sample) -> DataFrame:
 
     def run(batches):
         words, limits = Words(), model.value.thresholds
-        common = limits.get(None, 0.7)
+        common = limits.get(None, POINT)
         for b in batches:
             s = model.value.scores([words.rows(t.as_py()) for t in b.column(text)]) if b.num_rows else np.zeros(0)
             yield b.filter(pa.array(s < np.array([limits.get(x, common) for x in b.column(lang).to_pylist()], dtype=np.float64), pa.bool_()))
