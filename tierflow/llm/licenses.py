@@ -18,7 +18,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pyarrow as pa
