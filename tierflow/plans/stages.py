@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import re
 from datetime import date, datetime, timedelta
 from graphlib import TopologicalSorter
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -191,8 +193,6 @@ def run(spark: SparkSession, spec: PipelineSpec, run_date: str, stage: str = "al
 
 def trigger_date(key: str) -> str | None:
     """The run date that a landed object starts a run for: that of a day's success marker; else None."""
-    import re
-
     found = re.search(r"ingest_date=(\d{4}-\d{2}-\d{2})/", key)
     return found[1] if found and key.endswith("_SUCCESS") else None
 
@@ -205,7 +205,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--base-path", default=None)
     p.add_argument("--batch-id", default=None)
     args = p.parse_args(argv)
-    location = args.config or str(__import__("pathlib").Path(__file__).with_name("banking.yaml"))
+    location = args.config or str(Path(__file__).with_name("banking.yaml"))
     spark = open_session("tierflow")
     try:
         spec = load(location, args.base_path, spark)
