@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows per Arrow batch: long texts come in batches that a Python worker can hold.
 BATCH_ROWS = 1000
@@ -52,6 +53,11 @@ def settle(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def few(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A settled table of one row a group, to be broadcast where it is found to have few rows; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table made by settle() that nothing will read again."""
     drop_path(df.sparkSession, df._settled_path)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import settle, small_batches
+from .base import few, settle, small_batches
 
 # The characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -167,7 +167,7 @@ def estimates(rows: DataFrame, *, half: float, chunk: int, least: int, steps: in
     """An MCD estimate for each group (gl, gs) of rows(gl, gs, doc_id, x0..x4)."""
     group = ["gl", "gs"]
     sizes = settle(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n_group")).where(F.col("n_group") >= least), "sizes")
-    sized = rows.join(sizes, group)
+    sized = rows.join(few(sizes), group)
     part = F.pmod(F.xxhash64("doc_id", *VECTOR), F.ceil(F.col("n_group") / F.lit(chunk))).cast("int")
 
     def starts(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -196,7 +196,8 @@ def estimates(rows: DataFrame, *, half: float, chunk: int, least: int, steps: in
 
     for k in range(steps):
         now = settle(now, f"mcd{k}")
-        binned = rows.join(now, group).withColumn("d", distance()).withColumn("level", level)
+        # broadcast, rows stay where they are and are summed there, however large their group
+        binned = rows.join(few(now), group).withColumn("d", distance()).withColumn("level", level)
         now = binned.groupBy(*group, "level").agg(*sums).groupBy(*group).applyInPandas(step, _PARAMS)
     return settle(now, "mcd")
 
@@ -210,6 +211,7 @@ def judge(docs: DataFrame, *, cutoff: float = 120.0, half: float = 0.75, chunk:
     # every row counts for its own group and for its language's pool: one set of estimates has both
     both = F.explode(F.array(F.concat(F.lit("="), "gs"), F.lit("*"))).alias("gs")
     found = estimates(rows.where(~base_failed()).select("gl", both, "doc_id", *VECTOR), half=half, chunk=chunk, least=least, steps=steps)
+    found = few(found)
     own, pooled = found.where(F.col("gs") != "*").withColumn("gs", F.expr("substring(gs, 2)")), found.where(F.col("gs") == "*")
     names = [f.split()[0] for f in _PARAMS.split(", ")][2:]
     far = rows.join(own.select("gl", "gs", F.struct(*names).alias("own")), ["gl", "gs"], "left").join(pooled.select("gl", F.struct(*names).alias("pool")), "gl", "left")
