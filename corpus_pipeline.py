@@ -1,7 +1,8 @@
 """Corpus pipeline: from documents to packed training sequences.
 
 toxicity drops the documents that the classifier rejects by the threshold of their language;
-near_duplicates keeps one document of each SimHash group; personal_data replaces personal data in the
+near_duplicates keeps one document of each group of texts whose 5-word shingles have a Jaccard
+similarity of 0.8 or more; personal_data replaces personal data in the
 texts; mixing draws every document at least once and small sources up to MAX_PASSES times; packing
 cuts the texts' tokens into sequences. Each stage reads what the one before it kept.
 """
@@ -14,7 +15,7 @@ from tierflow.llm.base import settle
 from tierflow.llm.mixing import mixed_documents
 from tierflow.llm.packing import pack
 from tierflow.llm.pii import sanitise
-from tierflow.llm.simhash import without_near_duplicates
+from tierflow.llm.similar import without_similar
 from tierflow.llm.toxicity import without_toxic
 
 #: Passes over the smallest sources for each one over the largest.
@@ -26,7 +27,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_near_duplicates(docs)
+    return without_similar(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: A trained classifier, SimHash groups and packing can't be written in SQL: tests compare with brute force.
+#: A trained classifier, groups of similar texts and packing can't be written in SQL: tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,63 @@
+import itertools
+import random
+
+import corpus_pipeline
+from tierflow.llm import similar
+
+
+def brute(texts: dict, width=5, similarity=0.8):
+    """The smallest id of each group, on sets of word tuples."""
+    sets = {}
+    for k, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[k] = {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+    parent = {k: k for k in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x == y or 10 * len(x & y) >= round(10 * similarity) * len(x | y):
+            p, q = root(a), root(b)
+            parent[max(p, q)] = min(p, q)
+    return {k: root(k) for k in sets}
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for at in rng.sample(range(len(out)), n):
+        out[at] = f"z{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+def test_groups_equal_brute_force(spark, documents):
+    rng, texts = random.Random(5), {}
+    for r in documents.collect():
+        texts[r["doc_id"] + 10_000] = r["text"]
+    for g in range(30):  # groups of near copies around the similarity, and chains
+        base = [f"w{rng.randrange(900)}" for _ in range(rng.randrange(12, 300))]
+        for _ in range(8):
+            texts[len(texts)] = edited(rng, base, rng.randrange(0, max(1, len(base) // 40) + 1))
+    for t in (None, "", " \n", "one two", "ONE two", "two one", "a b c d e", "a b c d f"):
+        texts[len(texts)] = t
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in similar.groups(docs).collect()}
+    assert got == brute(texts)
+    assert similar.groups(docs.limit(0)).count() == 0
+
+
+def test_pipeline_stage_drops_near_copies(spark):
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    near, far = edited(rng, base, 3), edited(rng, base, 40)  # similarity over 0.8 and far under
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, near), (3, far), (None, near)], "doc_id long, text string")
+    assert sorted(str(r["doc_id"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == ["1", "3", "None"]
+
+
+def test_rows_and_columns(documents, odd):
+    out = similar.without_similar(odd)
+    kept = [r["doc_id"] for r in out.collect()]
+    assert out.columns == odd.columns and kept.count(5) == 2 and None in kept and not {2, 3} & set(kept) and 1 in kept

@@ -1,0 +1,194 @@
+"""Near copies by the exact Jaccard similarity of word shingles, with MinHash bands for candidates.
+
+A document is the set of its shingles' hashes (64 bits). Documents of equal sets are one node. A node
+has BANDS keys, each of ROWS minima of permuted hashes; nodes with a common key are candidates. A
+pair of similarity s has a common key with probability 1 - (1 - s^ROWS)^BANDS: 0.99997 at 0.8, more
+above. No pair is linked by its keys alone, each link is verified on the whole sets:
+
+1. In each bucket (nodes of one key; equal buckets count once) all nodes are compared with its smallest.
+2. Where a bucket's nodes are still of several components, all its pairs across components are compared
+   that have not been, so a group of near copies costs about its size, and no pair is left out.
+
+Groups are the components of the verified links. A pair of sets whose sizes alone keep it under the
+similarity isn't compared. Work of step 2 grows with the square of a bucket only where its nodes are
+unlike enough to fail in step 1. Only sets of candidates cross a shuffle, besides keys.
+
+Words are those of simhash.fingerprint(); a text of fewer words than `width` has one shingle.
+Defined results: texts without words are alike (null as well); rows without an id link nothing and
+stay; rows of one id go together; an empty table gives no rows; extra columns are kept.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .base import few, settle, small_batches
+from .graph import components
+from .simhash import mix
+
+BANDS, ROWS = 26, 5
+
+
+def _odd(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 2**64, n, dtype=np.uint64) | np.uint64(1)
+
+
+TURNS, PLACES = _odd(BANDS * ROWS, 1), _odd(ROWS + 1, 2)
+
+
+class Shingler:
+    """Sets of shingle hashes; word hashes are remembered, as far as memory allows."""
+
+    def __init__(self, width: int):
+        import xxhash
+
+        self.one, self.width, self.factors = xxhash.xxh64_intdigest, width, _odd(width + 1, 3)
+        self.known: dict[bytes, int] = {}
+
+    def _hash(self, word: bytes) -> int:
+        if len(self.known) >= 500_000:
+            self.known.clear()
+        return self.known.setdefault(word, self.one(word, 42))
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        """Sorted and distinct."""
+        words, known = (text or "").encode().lower().split(), self.known
+        if not words:
+            return np.zeros(0, dtype=np.uint64)
+        h = np.array([known.get(w) or self._hash(w) for w in words], dtype=np.uint64)
+        width = min(self.width, len(h))
+        n = len(h) - width + 1
+        out = np.full(n, np.uint64(width), dtype=np.uint64) * self.factors[-1]
+        for k in range(width):
+            out += h[k : k + n] * self.factors[k]
+        return np.unique(mix(out).view(np.uint64))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """BANDS signed numbers; none for an empty set."""
+    if not len(shingles):
+        return np.zeros(0, dtype=np.int64)
+    least = np.full(len(TURNS), 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(shingles), 512):
+        np.minimum(least, (TURNS[:, None] * shingles[None, at : at + 512]).min(axis=1), out=least)
+    rows = mix(least).view(np.uint64).reshape(BANDS, ROWS)
+    return mix((rows * PLACES[:ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * PLACES[ROWS])
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    if not reachable(len(a), len(b), similarity):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= similarity * (len(a) + len(b) - common) - 1e-9
+
+
+def reachable(n, m, similarity: float):
+    """Whether sets of these sizes can have the similarity."""
+    return np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9
+
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, h, node, n, keys) for each row of docs(doc_id, h, text)."""
+    from xxhash import xxh3_64_intdigest
+
+    def run(batches):
+        of = Shingler(width)
+        for b in batches:
+            node, n, keys = [], [], []
+            for t in b.column(2):
+                s = of(t.as_py())
+                node.append(xxh3_64_intdigest(s.tobytes()))
+                n.append(len(s))
+                keys.append(band_keys(s))
+            nodes = pa.array(np.array(node, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), nodes, pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "node", "n", "keys"])
+
+    return docs.mapInArrow(run, "doc_id long, h long, node long, n long, keys array<long>")
+
+
+def sets_of(texts: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of texts(node, text), as the bytes of the sorted hashes."""
+
+    def run(batches):
+        of = Shingler(width)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["node", "shingles"])
+
+    return texts.mapInArrow(run, "node long, shingles binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs(a, b) that have the similarity."""
+
+    def run(batches):
+        for b in batches:
+            x, y = ([np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in b.column(k)] for k in (2, 3))
+            ok = pa.array([similar(p, q, similarity) for p, q in zip(x, y)], pa.bool_())
+            yield b.select(["a", "b"]).filter(ok)
+
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _across(buckets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: pairs of different roots in rows of buckets(nodes), structs of node, n and root."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.column(0):
+                s = row.values
+                node, n, root = (s.field(k).to_numpy() for k in ("node", "n", "root"))
+                step = max(1, 1_000_000 // len(node))
+                for at in range(0, len(node), step):
+                    i, j = np.nonzero((root[at : at + step, None] < root[None, :]) & reachable(n[at : at + step, None], n[None, :], similarity))
+                    for k in range(0, len(i), 100_000):
+                        x, y = node[at + i[k : k + 100_000]], node[j[k : k + 100_000]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return buckets.select("nodes").mapInArrow(run, "a long, b long")
+
+
+def links(own: DataFrame, docs: DataFrame, *, width: int, similarity: float) -> DataFrame:
+    """(a, b): verified links of the nodes of own (see sketches), with the components of all of them."""
+    nodes = own.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("h").alias("h"), F.first("keys").alias("keys"))
+    nodes = settle(nodes, "nodes")
+    held = nodes.select(F.explode("keys").alias("key"), F.struct("node", "n").alias("e")).groupBy("key").agg(F.collect_list("e").alias("nodes"))
+    buckets = settle(held.where(F.size("nodes") > 1).select(F.array_sort("nodes").alias("nodes")).distinct(), "buckets")
+
+    wanted = settle(buckets.select(F.explode("nodes.node").alias("node")).distinct().join(nodes, "node").select("node", "h"), "wanted")
+    texts = docs.join(few(wanted, 1_000_000), "h").select("node", "text")
+    sets = settle(sets_of(texts, width).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+
+    star = buckets.select(F.col("nodes")[0].alias("hub"), F.explode("nodes").alias("e")).where("hub.node < e.node")
+    star = star.where(F.least("hub.n", "e.n") >= F.lit(similarity) * F.greatest("hub.n", "e.n") - 1e-9).select(F.col("hub.node").alias("a"), F.col("e.node").alias("b"))
+    star = settle(star.distinct(), "star")
+    first = settle(verified(star, sets, similarity), "links")
+
+    roots = settle(components(first), "roots")
+    rows = settle(buckets.withColumn("bucket", F.xxhash64("nodes")).select("bucket", F.explode("nodes").alias("e")).select("bucket", "e.node", "e.n"), "members")
+    rooted = rows.join(roots, "node", "left").select("bucket", F.struct("node", "n", F.coalesce("root", "node").alias("root")).alias("e"))
+    several = rooted.groupBy("bucket").agg(F.min("e.root").alias("lo"), F.max("e.root").alias("hi"), F.collect_list("e").alias("nodes")).where("lo <> hi")
+    rest = settle(_across(several, similarity).distinct().join(star, ["a", "b"], "left_anti"), "rest")
+    return first.unionByName(verified(rest, sets, similarity))
+
+
+def groups(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for each row of docs that has an id: the smallest doc_id of its group."""
+    small_batches(docs.sparkSession)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    slim = slim.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    own = settle(sketches(slim, width), "sketches")
+    roots = components(links(own, slim.select("h", "text"), width=width, similarity=similarity))
+    known = settle(own.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "known")
+    least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return known.join(settle(least, "least"), "root").select("doc_id", "component_id")
+
+
+def without_similar(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, all columns, that stay: of each group the smallest doc_id. Rows without an id stay."""
+    gone = groups(docs, width=width, similarity=similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    gone = settle(gone, "gone")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
