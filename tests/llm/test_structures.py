@@ -113,6 +113,13 @@ def test_media_round_trip(documents, odd):
     assert media.media_columns(docs.limit(0)).count() == 0
 
 
+def test_copies_keep_their_own_length(spark):
+    texts = [None, " ", "", "abc", "abc ", "abc  ", "abc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["payload_sha256"]) for r in media.media_columns(docs).collect()}
+    assert got == {k: (len(t or ""), hashlib.sha256((t or "").ljust(192).encode()).hexdigest()) for k, t in enumerate(texts)}
+
+
 def test_wav_is_read_by_others():
     import io
     import wave

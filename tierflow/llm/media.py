@@ -11,7 +11,7 @@ passages give equal chunks wherever they stand. Chunks are known by their SHA-25
    be shared is kept with its object; the others go to the chunk store, deduplicated by digest.
 4. Reading back joins recipes with the chunk store by digest, puts each file together in order and
    verifies its digest; features are computed from the samples. An object is read once for all its
-   copies, as those consist of shared chunks alone.
+   copies, as those consist of shared chunks alone; the length before padding stays each row's own.
 
 Most bytes never cross a shuffle: only shared chunks do. Joins with common digests are between
 written tables, where adaptive execution splits skewed keys.
@@ -215,6 +215,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
     got = asked.join(store, "digest").groupBy("media_sha256").agg(F.sort_array(F.collect_list(F.struct("place", "data"))).alias("fetched"))
     ready = some.join(got, "media_sha256")
     values = [x.split()[0] for x in DIGESTS.split(", ")]
-    one = settle(rebuild(ready.where("whole")).select(*values), "built")
-    copies = stored.where("shared = 2").select("doc_id", "media_sha256").join(one, "media_sha256")
+    # n_bytes is each row's own: texts that differ only in trailing spaces have one file
+    one = settle(rebuild(ready.where("whole")).select(*values).drop("n_bytes"), "built")
+    copies = stored.where("shared = 2").select("doc_id", "n_bytes", "media_sha256").join(one, "media_sha256")
     return plain.unionByName(rebuild(ready.where("not whole"))).unionByName(copies.select("doc_id", *values))
