@@ -1,41 +1,43 @@
-"""Shared plumbing of the training-data operators: table reads, scratch tables, batches."""
+"""Shared plumbing of the training-data operators: table reads, scratch tables, row keys.
+
+Arrow batches are left to the session: Spark bounds them by bytes (spark.sql.execution.arrow.maxBytesPerBatch),
+and no operator changes a setting of the caller's session.
+"""
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch: long texts come in batches that a Python worker can hold.
-BATCH_ROWS = 1000
+#: The most bytes that a table may have on its way to be broadcast, as its rows are counted and measured.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lower (never raise) the session's rows per Arrow batch; results don't depend on it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder, as the session names it; a folder of our own only where unset."""
+    """The cluster's shared folder, as the session names it.
+
+    Where none is named, a session in one process (tests, a laptop) gets a folder of its own beside
+    its warehouse; on a cluster that's an error, as no folder of one machine is seen by all.
+    """
     key = "spark.checkpoint.dir"
     root = spark.sparkContext.getConf().get(key) or spark.conf.get(key, None)
     if not root:
-        jsc = spark.sparkContext._jsc.sc()
-        found = jsc.getCheckpointDir()
+        sc = spark.sparkContext
+        found = sc._jsc.sc().getCheckpointDir()
         if found.isDefined():
             root = found.get()
+        elif sc.master.split("[")[0] == "local":
+            root = f"file:///tmp/tierflow-{os.getuid()}-{sc.applicationId}"
+            sc.setCheckpointDir(root)
         else:
-            root = "file://" + tempfile.mkdtemp(prefix="tierflow-")
-            spark.sparkContext.setCheckpointDir(root)
+            raise RuntimeError(f"{key} must name a folder that the driver and all executors share")
     return root.rstrip("/")
 
 
@@ -53,17 +55,45 @@ def settle(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
-def few(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """A settled table of one row a group, to be broadcast where it is found to have few rows; else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def size_of(df: DataFrame) -> int:
+    """Bytes of a settled table's files."""
+    return path_bytes(df.sparkSession, df._settled_path)
+
+
+def path_bytes(spark: SparkSession, path: str) -> int:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
 
+def few(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A settled table, to be broadcast where its rows and bytes are found to be few; else as it is.
 
-def forget(df: DataFrame) -> None:
-    """Delete a table made by settle() that nothing will read again."""
-    drop_path(df.sparkSession, df._settled_path)
+    Its files are compressed, so the bound is on their bytes (an eighth) and on its rows (32 bytes each).
+    """
+    if size_of(df) * 8 > limit or df.limit(limit // 32 + 1).count() > limit // 32:
+        return df
+    return F.broadcast(df)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by settle() that nothing will read again."""
+    for df in tables:
+        drop_path(df.sparkSession, df._settled_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def row_key(df: DataFrame) -> tuple[Column, Column]:
+    """128 bits of a whole row, as two hashes; equal rows have equal keys, nulls and maps included."""
+    cols = [_hashable(f) for f in df.schema.fields]
+    null = F.concat(*(F.col(f"`{f.name}`").isNull().cast("string") for f in df.schema.fields))
+    return F.xxhash64(null, *cols), F.xxhash64(*reversed(cols), F.lit("second"), null)
+
+
+def _hashable(field) -> Column:
+    c = F.col(f"`{field.name}`")
+    return F.to_json(F.struct(c)) if "map<" in field.dataType.simpleString() else c

@@ -11,7 +11,9 @@ mask is the prefix sum of +1 where an assistant's text starts and -1 where it en
 of the result, with its place in the conversation by a prefix sum of the turns' lengths, so that a
 conversation of any length is spread over rows and no task has to hold it.
 
-Turns of a conversation are ordered by turn, then role and text (ties, nulls first).
+Turns of a conversation are ordered by turn, then role and text (ties, nulls first). Ids travel as bytes,
+two for each where the vocabulary allows; a text travels beside them only where its turn and role occur
+again in the conversation, as those are found by a count first.
 Defined results: null role or text is empty; a null conv_id or turn is a value like any other;
 repeated rows are repeated turns; an empty table gives no rows; extra columns are ignored.
 """
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import small_batches
+from .base import few, settle
 from .tokens import default_vocabulary, encoder
 
 #: Markers, as ids above the vocabulary's last and as text.
@@ -55,30 +57,57 @@ def assemble(enc, role: str, text: str, loss_roles: tuple[str, ...]) -> tuple[np
     return np.concatenate(parts), np.cumsum(change[:-1], dtype=np.int8)
 
 
+def id_type(vocabulary: str) -> str:
+    """How ids are kept: little-endian, in 2 bytes if the vocabulary and the markers fit, else in 4."""
+    return "<u2" if encoder(vocabulary).size + len(MARKERS) <= 1 << 16 else "<u4"
+
+
 def format_chat(turns: DataFrame, vocabulary: str | None = None, *, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """(conv_id, turn, place, start, ids, loss) for each row of turns(conv_id, turn, role, text).
 
-    place numbers a conversation's turns from 0, start is the offset of the turn's first id in it;
-    the rows of a conversation are in one partition, in order.
+    place numbers a conversation's turns from 0, start is the offset of the turn's first id in it; ids are
+    bytes as of id_type(), loss a byte for each id; the rows of a conversation are in one partition, in order.
     """
     vocabulary = vocabulary or default_vocabulary()
-    small_batches(turns.sparkSession)
+    kind = id_type(vocabulary)
+    cols = [F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")]
+    slim = turns.select(*cols)
+    # (conversation, turn, role) that occur more than once: ties that the text decides
+    ties = slim.groupBy("conv_id", "turn", "role").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.xxhash64("conv_id", "turn", "role").alias("h")).distinct()
+    ties = settle(ties, "ties")
+    h = F.xxhash64("conv_id", "turn", "role")
+    tied = F.lit(False) if ties.isEmpty() else F.col("h").isNotNull()
+    marked = slim if ties.isEmpty() else slim.withColumn("_h", h).join(few(ties), F.col("_h") == F.col("h"), "left")
+    marked = marked.select(*(F.col(c) for c in ("conv_id", "turn", "role", "text")), tied.alias("tied"))
 
     def run(batches):
         enc = encoder(vocabulary)
         for b in batches:
-            both = [assemble(enc, r or "", t or "", loss_roles) for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            ids = pa.array([i.tolist() for i, _ in both], pa.list_(pa.int32()))
+            texts, tie = b.column(3).to_pylist(), b.column(4).to_pylist()
+            both = [assemble(enc, r or "", t or "", loss_roles) for r, t in zip(b.column(2).to_pylist(), texts)]
+            ids = pa.array([i.astype(kind).tobytes() for i, _ in both], pa.binary())
             loss = pa.array([m.tobytes() for _, m in both], pa.binary())
             size = pa.array([len(i) for i, _ in both], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, ids, loss, size], names=["conv_id", "turn", "role", "text", "ids", "loss", "size"])
+            kept = pa.array([t if own else None for t, own in zip(texts, tie)], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], kept, ids, loss, size], names=["conv_id", "turn", "role", "text", "ids", "loss", "size"])
 
-    cols = [F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")]
-    made = turns.select(*cols).mapInArrow(run, "conv_id long, turn long, role string, text string, ids array<int>, loss binary, size long")
+    made = marked.mapInArrow(run, "conv_id long, turn long, role string, text string, ids binary, loss binary, size long")
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     return made.select("conv_id", "turn", (F.row_number().over(w) - 1).cast("long").alias("place"), (F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("start"), "ids", "loss")
 
 
+def examples(formatted: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, ids, loss) of format_chat(): a row a turn, with ids of 4 bytes, as packing takes them."""
+    kind = id_type(vocabulary or default_vocabulary())
+
+    def run(batches):
+        for b in batches:
+            wide = [np.frombuffer(x, dtype=kind).astype("<u4").tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(wide, pa.binary()), b.column(2)], names=["doc_id", "ids", "loss"])
+
+    return formatted.select("conv_id", "ids", "loss").mapInArrow(run, "doc_id long, ids binary, loss binary")
+
+
 class _Reader:
     """Digests of one conversation, fed with the ids and masks of its turns in order."""
 
@@ -120,14 +149,14 @@ def read_back(formatted: DataFrame, vocabulary: str | None = None) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     def run(batches):
-        enc, now, done = encoder(vocabulary), None, []
+        enc, now, done, kind = encoder(vocabulary), None, [], id_type(vocabulary)
         for b in batches:
-            for conv, place, ids, loss in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+            for conv, place, ids, loss in zip(*(b.column(k).to_pylist() for k in range(4))):
                 if place == 0:
                     if now:
                         done.append(now.row())
                     now = _Reader(conv)
-                now.feed(enc, np.asarray(ids.values, dtype=np.int64), np.frombuffer(loss, dtype=np.int8))
+                now.feed(enc, np.frombuffer(ids, dtype=kind).astype(np.int64), np.frombuffer(loss, dtype=np.int8))
             yield rows(done)
             done = []
         if now:

@@ -3,12 +3,14 @@
 In a round every node takes the node with the smallest hash among itself and its neighbours as its
 parent, edges are redrawn between parents and made distinct, and loops go. Every node that isn't a
 local minimum leaves; minima are spread at random, whatever the ids mean, so the rounds are few even
-for long paths. The parents of all rounds
-are then composed from the last to the first. Each round is written to the shared folder, so lineage
-stays short and a lost executor costs a task, not the run. Nothing but a row count reaches the driver.
+for long paths. The parents of all rounds are then composed from the last to the first. Each round is
+written to the shared folder, so lineage stays short and a lost executor costs a task, not the run.
+Nothing but a row count reaches the driver.
 
-A hub's edges meet in partial minima before the shuffle; joins on nodes are left
-to adaptive skew handling.
+A hub's edges meet in partial minima before the shuffle; joins on nodes are left to adaptive skew handling.
+
+Defined results: edges are rows (a, b) in any direction; repeated edges count once; edges from a node to
+itself and edges with a null end are left out, and so are nodes that have no others; no edges, no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,10 @@ from .base import forget, settle
 
 
 def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for each node of edges(a, b); nodes of one component share their root."""
+    """(node, root) for each node that edges(a, b) join to another; nodes of one component share their root.
+
+    The result is a settled table: forget() it when it has been read.
+    """
     edges = settle(edges.select("a", "b").where("a <> b").distinct(), "edges")
     levels: list[DataFrame] = []
     for _ in range(max_rounds):
@@ -39,9 +44,16 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components: edges are left after {max_rounds} rounds")
     if not levels:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    roots = levels[-1].toDF("node", "root")
-    for parents in reversed(levels[:-1]):
-        up = parents.withColumnRenamed("p", "mid").join(roots.toDF("mid", "root"), "mid", "left")
-        roots = settle(up.select("node", F.coalesce("root", "mid").alias("root")), "roots")
-    return roots
+        out = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        out._settled_path = edges._settled_path
+        return out
+    forget(edges)
+    roots = levels.pop()
+    now = roots.toDF("node", "root")
+    for parents in reversed(levels):
+        up = parents.withColumnRenamed("p", "mid").join(now.toDF("mid", "root"), "mid", "left")
+        now = settle(up.select("node", F.coalesce("root", "mid").alias("root")), "roots")
+        forget(parents, roots)
+        roots = now
+    now._settled_path = roots._settled_path
+    return now

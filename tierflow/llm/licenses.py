@@ -1,19 +1,27 @@
 """Licence scan by a positional index of rare words.
 
-Every template (the words of a licence text or notice) is indexed as word -> (template, position).
-A first pass over all documents counts in how many each licence word occurs, which gives its IDF.
-The second pass reads every whole text again: for each template whose words the file could cover
-it looks up the `probes` words with the highest IDF, intersects the template postings of all their
-occurrences by relative position (file position minus template position), aligns the template at
-the positions that got enough votes, and accepts it when the aligned words carry `cover` of the template's IDF
-and all its mandatory key phrases stand word for word inside the alignment. Base phrases go through
-the same index with a threshold of all words, looked up by the phrase's own rarest word, so that
-every place is found.
-
-Both passes are maps over the input; only the counts of the fixed licence vocabulary (a few hundred
+Every template (the words of a licence text, notice or naming line) is indexed by its rarest words, as
+word -> (template, position): the words of highest IDF that carry SIGNATURE of the template's whole IDF,
+so an alignment of the share `cover` must have some of them. A first pass over all documents counts in
+how many each licence word occurs, which gives the IDF. The second pass reads every whole text again:
+
+1. Each of the file's words that is in the index (its highest-IDF licence words) draws its postings; a
+   posting votes with the word's IDF for a template at a relative position, file position minus template
+   position. Nothing else makes candidates.
+2. Votes of a template at neighbouring relative positions (within `band`) are chained. Where they reach
+   what an alignment of the share `cover` can't miss, the template is aligned there: the heaviest common
+   subsequence by IDF within the band, so inserted, changed and lost words cost only themselves.
+3. It is accepted if the aligned words carry the share `cover` of the template's IDF and all its mandatory
+   key phrases stand word for word inside the alignment's stretch of the file.
+
+Templates that share most of their words (a licence in two versions, with two or three clauses) are told
+apart by their key phrases. Base phrases go through the same index with a threshold of all words, looked
+up by the phrase's own rarest word, so that every place is found.
+
+Both passes are maps over the input; only the counts of the fixed licence vocabulary (some hundreds of
 numbers) reach the driver. Defined results: null text is empty (no words, no labels, score 0);
 repeated rows give repeated rows; a null doc_id stays null; an empty table gives no rows; extra
-columns are ignored.
+columns are ignored; very long texts are read whole, with work in proportion to their rare licence words.
 """
 
 from __future__ import annotations
@@ -24,7 +32,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import small_batches
 
 # Phrases that name a licence wherever their words stand together.
 BASE_PHRASES = {
@@ -33,29 +40,47 @@ BASE_PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# Fixed values: (label, template words, key phrases that must stand inside the alignment).
+# Fixed values: (label, template words, key phrases that must stand inside the alignment). Words only: lower case, no marks.
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_THIRD = "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_AS_IS = "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+_GPL = "is free software you can redistribute it and or modify it under the terms of the {0} as published by the free software foundation either version {1} of the license or at your option any later version"
+_GPL_NO_WARRANTY = "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the {0} for more details"
 TEMPLATES = [
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["free of charge", "substantial portions of the software"]),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ["free of charge", "associated documentation files"]),
     ("mit", "released under the mit license", ["mit license"]),
     ("mit", "licensed under the terms of the mit license", ["mit license"]),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", ["apache license", "as is basis"]),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ["apache license"]),
     ("apache-2", "licensed under the apache license version 2 0", ["apache license", "version 2"]),
-    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ["gnu general public license", "version 3"]),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
-    ("gpl-2", "this work is licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
-    ("lgpl-3", "this library is licensed under the gnu lesser general public license version 3", ["lesser general public license"]),
-    ("agpl-3", "this work is licensed under the gnu affero general public license version 3", ["affero general public license"]),
-    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["source and binary forms", "conditions are met"]),
+    *((f"{name}-{v}", " ".join(["this program", _GPL.format(text, n), "this program", _GPL_NO_WARRANTY.format(text)]), [text, f"version {n}"]) for name, text, v, n in (("gpl", "gnu general public license", "2", "2"), ("gpl", "gnu general public license", "3", "3"), ("agpl", "gnu affero general public license", "3", "3"))),
+    *((f"{name}-{v}", f"{what} {_GPL.format(text, n)}", [text, f"version {n}"]) for name, what, text, v, n in (("gpl", "this program", "gnu general public license", "2", "2"), ("gpl", "this program", "gnu general public license", "3", "3"), ("lgpl", "this library", "gnu lesser general public license", "2.1", "2 1"), ("lgpl", "this library", "gnu lesser general public license", "3", "3"), ("agpl", "this program", "gnu affero general public license", "3", "3"))),
+    *((f"{name}-{v}", f"this work is licensed under the {text} version {n}", [f"{text} version {n}"]) for name, text, v, n in (("gpl", "gnu general public license", "3", "3"), ("gpl", "gnu general public license", "2", "2"), ("lgpl", "gnu lesser general public license", "3", "3"), ("lgpl", "gnu lesser general public license", "2.1", "2 1"), ("agpl", "gnu affero general public license", "3", "3"))),
+    ("bsd-3", f"{_BSD} {_BSD_THIRD} {_AS_IS}", ["source and binary forms", "endorse or promote products"]),
+    ("bsd-2", f"{_BSD} {_AS_IS}", ["source and binary forms", "provided with the distribution this software is provided"]),
     ("bsd-3", "released under the bsd 3 clause license", ["bsd 3 clause"]),
+    ("bsd-2", "released under the bsd 2 clause license", ["bsd 2 clause"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["with or without fee", "notice appear in all copies"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ["alter it and redistribute it freely"]),
+    ("boost-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software", ["person or organization", "accompanying documentation"]),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ["mozilla public license"]),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at", ["eclipse public license 2 0"]),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ["unencumbered software"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
-    ("cc0", "to the extent possible under law the person who associated cc0 with this work has waived all copyright", ["cc0 with this work"]),
+    ("cc0", "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work", ["cc0 with this work"]),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["commons attribution 4 0"]),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ["attribution noncommercial"]),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ["attribution sharealike"]),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license", ["attribution noderivatives"]),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ["attribution noncommercial 4 0"]),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license", ["attribution noncommercial sharealike"]),
     ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
 ]
 
+#: The share of a template's IDF that its indexed words carry; an alignment of `cover` then has SIGNATURE - (1 - cover) of it.
+SIGNATURE = 0.5
+
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 #: Bytes to word characters: A-Z lower-cased; letters, digits and all bytes over 127 kept; others to spaces.
@@ -67,27 +92,33 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Index:
-    """The positional index; idf gives each licence word's rarity."""
+    """The positional index of rare words; idf gives each licence word's rarity."""
 
     def __init__(self, templates=None, phrases=None):
         self.vocab: dict[bytes, int] = {}
         self.templates = [(label, self.ids(t), [self.ids(k) for k in keys]) for label, t, keys in (templates or TEMPLATES)]
         self.phrases = [(label, self.ids(p)) for p, label in (phrases or BASE_PHRASES).items()]
-        self.postings: dict[int, list[tuple[int, int]]] = {}
-        for t, (_, ids, _) in enumerate(self.templates):
-            for q, w in enumerate(ids.tolist()):
-                self.postings.setdefault(w, []).append((t, q))
         self.weigh(1, np.zeros(len(self.vocab)))
 
     def ids(self, text: str) -> np.ndarray:
         return np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words_of(text)], dtype=np.int32)
 
     def weigh(self, n_docs: int, df: np.ndarray) -> None:
+        """Set the IDF and index each template's rarest words (of equal ones the earlier in the vocabulary)."""
         self.idf = np.log((n_docs + 1) / (df + 1)) + 1e-3
-        self.mass = np.zeros((len(self.templates), len(self.vocab)))
+        self.total = np.array([self.idf[ids].sum() for _, ids, _ in self.templates])
+        postings: dict[int, list[tuple[int, int]]] = {}
         for t, (_, ids, _) in enumerate(self.templates):
-            np.add.at(self.mass[t], ids, self.idf[ids])
-        self.total = self.mass.sum(axis=1)
+            mass = 0.0
+            for w in sorted(set(ids.tolist()), key=lambda w: (-self.idf[w], w)):
+                if mass >= SIGNATURE * self.total[t] - 1e-9:
+                    break
+                at = np.flatnonzero(ids == w)
+                mass += self.idf[w] * len(at)
+                postings.setdefault(w, []).extend((t, q) for q in at.tolist())
+        self.rare = np.zeros(len(self.vocab) + 1, dtype=bool)  # the last is that of other words
+        self.rare[list(postings)] = True
+        self.postings = {w: tuple(np.array(x, dtype=np.int64) for x in zip(*found)) for w, found in postings.items()}
 
     def look_up(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.vocab.get, words, [-1] * len(words)), dtype=np.int32, count=len(words))
@@ -105,37 +136,56 @@ class Index:
             found += [(p, label) for p in self.stands(seq, part, np.flatnonzero(seq == part[q]) - q).tolist()]
         return found
 
-    def match(self, seq: np.ndarray, probes: int, cover: float, slack: int) -> dict[str, float]:
+    def candidates(self, seq: np.ndarray, cover: float, band: int) -> list[tuple[int, int]]:
+        """(template, relative position) where the votes of a band reach what an alignment must have."""
+        places = np.flatnonzero(self.rare[seq])
+        if not len(places):
+            return []
+        drawn = []
+        for w in np.unique(seq[places]).tolist():
+            at, (t, q) = places[seq[places] == w], self.postings[w]
+            drawn.append((np.repeat(t[None, :], len(at), axis=0).ravel(), (at[:, None] - q[None, :]).ravel(), np.full(len(at) * len(t), self.idf[w])))
+        t, d, v = (np.concatenate(x) for x in zip(*drawn))
+        order = np.lexsort((d, t))
+        t, d, v = t[order], d[order], v[order]
+        key = t * (len(seq) + 4096) * 4 + d  # templates apart by more than any band
+        upto, votes = np.searchsorted(key, key + band, side="right"), np.concatenate([[0.0], np.cumsum(v)])
+        sums = votes[upto] - votes[: len(v)]  # of the band that begins at each vote
+        needed = (SIGNATURE - (1 - cover)) * self.total[t] - 1e-9
+        found, last = [], None
+        for k in np.flatnonzero(sums >= needed).tolist():
+            # bands that begin within one that was taken are covered by its alignment, as wide again
+            if last is None or key[k] > last + band:
+                found.append((int(t[k]), int(d[k])))
+                last = key[k]
+        return found
+
+    def align(self, seq: np.ndarray, t: int, d: int, band: int) -> tuple[float, int, int]:
+        """The share of the template's IDF in the heaviest common subsequence near d, and its stretch of the file."""
+        ids = self.templates[t][1]
+        offsets = np.arange(-band, 2 * band + 1)
+        best = np.zeros(len(offsets))
+        for q, w in enumerate(ids.tolist()):
+            at = q + d + offsets
+            ok = (at >= 0) & (at < len(seq))
+            hit = np.zeros(len(offsets))
+            hit[ok] = np.where(seq[at[ok]] == w, self.idf[w], 0.0)
+            lost = np.append(best[1:], 0.0)  # the template's word has no place in the file
+            # matched here, or passed over; further words of the file may be passed over too
+            best = np.maximum.accumulate(np.maximum(best + hit, lost))
+        return float(best.max() / self.total[t]), max(0, d - band), d + len(ids) + 2 * band
+
+    def match(self, seq: np.ndarray, cover: float, band: int) -> dict[str, float]:
         """Labels of accepted templates with their best coverage."""
-        held = np.zeros(len(self.vocab), dtype=bool)
-        held[seq[seq >= 0]] = True
-        able = self.mass[:, held].sum(axis=1) >= cover * self.total - 1e-9  # the others can't be covered
-        if not able.any():
-            return {}
-        votes: dict[tuple[int, int], float] = {}
-        for t in np.flatnonzero(able).tolist():
-            words = np.unique(self.templates[t][1])
-            words = words[held[words]]
-            for w in words[np.argsort(-self.idf[words], kind="stable")][:probes].tolist():
-                for p in np.flatnonzero(seq == w).tolist():
-                    for u, q in self.postings[w]:
-                        if u == t:
-                            votes[t, p - q] = votes.get((t, p - q), 0.0) + self.idf[w]
         out: dict[str, float] = {}
-        for (t, d), v in votes.items():
-            label, ids, keys = self.templates[t]
-            total = self.total[t]
-            if v < 0.2 * total or out.get(label, 0.0) == 1.0:
+        for t, d in self.candidates(seq, cover, band):
+            label, _, keys = self.templates[t]
+            if out.get(label, 0.0) >= 1.0:
                 continue
-            hit = np.zeros(len(ids), dtype=bool)
-            for shift in range(-slack, slack + 1):
-                at = np.arange(len(ids)) + d + shift
-                ok = (at >= 0) & (at < len(seq))
-                hit[ok] |= seq[at[ok]] == ids[ok]
-            share = float(self.idf[ids][hit].sum() / total)
-            lo, hi = max(0, d - slack), d + len(ids) + slack
-            if share >= cover and all(len(self.stands(seq[lo:hi], k, np.flatnonzero(seq[lo:hi] == k[0]))) for k in keys):
-                out[label] = max(out.get(label, 0.0), share)
+            share, lo, hi = self.align(seq, t, d, band)
+            part = seq[lo:hi]
+            if share >= cover - 1e-9 and all(len(self.stands(part, k, np.flatnonzero(part == k[0]))) for k in keys):
+                out[label] = max(out.get(label, 0.0), min(share, 1.0))
         return out
 
 
@@ -156,16 +206,15 @@ def document_counts(docs: DataFrame, index: Index) -> tuple[int, np.ndarray]:
     return n.get(-1, 0), np.array([n.get(w, 0) for w in range(size)])
 
 
-def scan(docs: DataFrame, *, probes: int = 16, cover: float = 0.85, slack: int = 1) -> DataFrame:
+def scan(docs: DataFrame, *, cover: float = 0.85, band: int = 8) -> DataFrame:
     """One row as in SCHEMA for each row of docs(doc_id, text)."""
-    small_batches(docs.sparkSession)
     index = Index()
     index.weigh(*document_counts(docs, index))
 
     def one(text: str | None) -> tuple:
         seq = index.look_up(words_of(text))
         base = index.base(seq)
-        match = index.match(seq, probes, cover, slack)
+        match = index.match(seq, cover, band)
         at = [p for p, _ in base]
         labels = {x for _, x in base}
         return (len(seq), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | match.keys())), 1.0 if at else max(match.values(), default=0.0))

@@ -13,8 +13,8 @@ passages give equal chunks wherever they stand. Chunks are known by their SHA-25
    verifies its digest; features are computed from the samples. An object is read once for all its
    copies, as those consist of shared chunks alone; the length before padding stays each row's own.
 
-Most bytes never cross a shuffle: only shared chunks do. Joins with common digests are between
-written tables, where adaptive execution splits skewed keys.
+Most bytes never cross a shuffle: only shared chunks do. An object with very many copies is counted
+first, and its copies meet their values on salted keys, so they don't meet in one task.
 
 Defined results: null text is the empty payload (192 spaces); repeated rows and equal texts have
 equal values; a null doc_id stays null; an empty table gives no rows; extra columns are ignored.
@@ -31,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import drop_path, scratch_path, settle, small_batches
+from .base import drop_path, few, scratch_path, settle
 
 UNIT, RATE = 192, 8000
 LEAST, AVERAGE_BITS, MOST = 256, 10, 8192
 SLOT_BITS, BLOCK_BITS = 25, 15
+#: Copies of an object that may share a key.
+SHARED_KEY = 500
 
 
 def gear_table() -> np.ndarray:
@@ -127,7 +129,7 @@ def shared_bitmap(docs: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-STORED = "shared int, doc_id long, n_bytes long, media_sha256 string, sizes array<int>, digests array<binary>, kept binary"
+STORED = "shared int, doc_id long, n_bytes long, media_sha256 string, sizes array<int>, digests array<binary>, kept binary, lot int"
 DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -137,10 +139,10 @@ def write_store(docs: DataFrame, path: str) -> None:
     spark = docs.sparkSession
     bitmap = spark.sparkContext.broadcast(shared_bitmap(docs))
     names = [x.split()[0] for x in STORED.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary()]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary(), pa.int32()]
 
     def run(batches):
-        bits, sent = bitmap.value, set()
+        bits, sent, lot = bitmap.value, set(), 0
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -155,13 +157,13 @@ def write_store(docs: DataFrame, path: str) -> None:
                         if len(sent) > 100_000:
                             sent.clear()
                         sent.add(d)
-                        rows.append((3, None, None, d.hex(), [], [], c))
+                        rows.append((3, None, None, d.hex(), [], [], c, None))
                 kept = b"".join(c for (_, c), s in zip(parts, may) if not s)
                 kind = 0 if not may.any() else 2 if may.all() else 1
-                rows.append((kind, doc, n, hashlib.sha256(media).hexdigest(), sizes, [d for (d, _), s in zip(parts, may) if s], kept))
+                rows.append((kind, doc, n, hashlib.sha256(media).hexdigest(), sizes, [d for (d, _), s in zip(parts, may) if s], kept, lot))
+                lot = (lot + 1) % 4096  # deals an object's copies over keys where they are joined
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(names), kinds)], names=names)
 
-    small_batches(spark)
     docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, STORED).write.option("compression", "zstd").partitionBy("shared").parquet(path)
 
 
@@ -197,7 +199,6 @@ def rebuild(rows: DataFrame) -> DataFrame:
 def media_columns(docs: DataFrame) -> DataFrame:
     """doc_id and DIGESTS for each row of docs(doc_id, text), read back from the store."""
     spark = docs.sparkSession
-    small_batches(spark)
     path = scratch_path(spark, "media")
     write_store(docs, path)
     stored = spark.read.schema(STORED).parquet(path)
@@ -217,5 +218,11 @@ def media_columns(docs: DataFrame) -> DataFrame:
     values = [x.split()[0] for x in DIGESTS.split(", ")]
     # n_bytes is each row's own: texts that differ only in trailing spaces have one file
     one = settle(rebuild(ready.where("whole")).select(*values).drop("n_bytes"), "built")
-    copies = stored.where("shared = 2").select("doc_id", "n_bytes", "media_sha256").join(one, "media_sha256")
-    return plain.unionByName(rebuild(ready.where("not whole"))).unionByName(copies.select("doc_id", *values))
+    copies = stored.where("shared = 2").select("doc_id", "n_bytes", "media_sha256", "lot")
+    many = copies.groupBy("media_sha256").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARED_KEY)).cast("int").alias("salts")).where("salts > 1")
+    many = few(settle(many, "copied"))
+    salts = F.coalesce(F.col("salts"), F.lit(1))
+    salted = copies.join(many, "media_sha256", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "lot"), salts).cast("int")).drop("salts", "lot")
+    spread = one.join(many, "media_sha256", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    named = salted.join(spread, ["media_sha256", "salt"])
+    return plain.unionByName(rebuild(ready.where("not whole"))).unionByName(named.select("doc_id", *values))

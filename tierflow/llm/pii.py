@@ -3,15 +3,23 @@
 Base kinds are email, ip, card and phone, each found on its own in the whole text, leftmost first;
 matches that fail their kind's test (parts over 255, Luhn, number of digits) are dropped. Patterns
 are possessive and anchored to where a match can begin, so that no text makes them slow or deep.
+Offsets are prefix sums over the pieces between matches, in blocks of about the root of their number,
+so a text with very many matches costs little more than linear time.
 
-The method estimates from the whole corpus how strongly a word reveals a kind of protected entity:
-the pointwise mutual information of word and kind over documents, as a share of the kind's own
-information content. A word is a run of letters; its document counts come from one aggregation over
-all rows, with partial sums before the shuffle. A word whose share reaches `disclosure` is a term
-that gives the entity away (its span's kind is `term`), and is generalised in the text like the
-entities themselves. Words seen in fewer than `support` documents with the kind, or with fewer than
-`support` different values of it, are not judged: there the estimate says nothing (copies of one
-document aren't evidence).
+The method estimates from the whole corpus how much of a protected entity's information a word
+reveals. A word is a run of letters; entities are the values found (an address, a number) and their kinds.
+
+- A word reveals a kind if the pointwise mutual information of word and kind over documents is at least
+  the share `disclosure` of the kind's own information content, seen in `support` documents with it, and
+  in documents that hold at least `support` different values of it: every value of a document counts
+  (copies of one document aren't evidence, in whatever order its values stand).
+- A word reveals one entity if it stands within WINDOW characters of that value in at least
+  `entity_support` different texts, and knowing that a text has the word leaves at most `bits_left` bits
+  of the information that the text has this value.
+
+Such a word is a term (its span's kind is `term`) and is generalised in the text like the entities
+themselves. Pairs of word and value are drawn for few words: for kinds those that pass the test of
+mutual information, for entities those next to a value, so pairs grow with the number of values.
 
 Spans are code points, end exclusive. sanitise() replaces the union of all spans by labels.
 
@@ -26,7 +34,7 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import settle
+from .base import few, forget, row_key, settle
 
 # The kinds in their order, with pattern, the quick test that most texts fail, and label.
 KINDS = ("email", "ip", "card", "phone")
@@ -43,6 +51,9 @@ NOT_LETTERS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
 SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
 
+#: Characters on each side of a value whose words stand by it; characters of a block of a text.
+WINDOW, BLOCK = 80, 1024
+
 
 def _maybe(kind: str) -> Column:
     """A cheap test that every text with a span of the kind passes."""
@@ -66,22 +77,61 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with value computed once however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(numbers: Column, both) -> Column:
+    """The running fold of an array of ints by `both` (sum or maximum): in blocks, as appending copies an array."""
+
+    def fold(part: Column) -> Column:
+        none = F.array().cast("array<int>")
+        return F.aggregate(part, none, lambda acc, x: F.array_append(acc, F.coalesce(both(F.get(acc, F.size(acc) - 1), x), x)))
+
+    def of(x: Column) -> Column:
+        wide = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(x).cast("double"))).cast("int"))
+        count = F.ceil(F.size(x) / wide).cast("int")
+
+        def whole(width: Column) -> Column:
+            blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda k: fold(F.slice(x, k * width + 1, width)))
+            return _once(blocks, joined)
+
+        def joined(blocks: Column) -> Column:
+            last = F.transform(blocks, lambda b: F.get(b, F.size(b) - 1))
+            return _once(fold(last), lambda carry: F.flatten(F.transform(blocks, lambda b, k: F.when(k == 0, b).otherwise(F.transform(b, lambda v: both(F.get(carry, k - 1), v))))))
+
+        return F.when(F.size(x) == 0, x).otherwise(_once(wide, whole))
+
+    return _once(numbers, of)
+
+
+def added(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def placed(text: Column, pattern: Column, rank: int, valid=lambda m: F.lit(True)) -> Column:
-    """Spans of all valid matches: the pieces between matches and the matches themselves give the offsets."""
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    pieces = F.split(text, pattern)
-    step = F.arrays_zip(pieces.alias("piece"), found.alias("value"))
-    none = F.array().cast(SPAN)
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    """Spans of all valid matches: the lengths of matches and of the pieces between them give the offsets."""
 
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["piece"])
-        end = begin + F.length(x["value"])
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["value"].alias("value"))
-        more = F.when(valid(x["value"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.when(x["value"].isNull(), acc).otherwise(F.struct(end.alias("at"), more.alias("spans")))
+    def spans(found: Column) -> Column:
+        pieces = F.split(text, pattern)
+        lengths = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.length(p) + F.length(m))
+        span = F.zip_with(running(lengths, added), found, lambda end, m: F.struct((end - F.length(m)).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), m.alias("value")))
+        return F.filter(span, lambda s: valid(s["value"]))
 
-    return F.aggregate(step, start, add, lambda acc: acc["spans"])
+    return _once(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: F.when(F.size(found) > 0, spans(found)).otherwise(F.array().cast(SPAN)))
+
+
+def blocks_of(text: Column) -> Column:
+    """The text in blocks of BLOCK characters, so that a part far inside is reached at once."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(blocks: Column, at: Column, length: Column) -> Column:
+    """`length` characters of the text from `at` on."""
+    first = F.floor(at / BLOCK).cast("int")
+    some = F.slice(blocks, first + 1, F.floor((at + length) / BLOCK).cast("int") - first + 1)
+    return F.substring(F.array_join(some, ""), at - first * BLOCK + 1, length)
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -97,26 +147,57 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(text, NOT_LETTERS)), "")
 
 
-def _sized(df: DataFrame, limit: int = 250_000) -> DataFrame:
-    """Broadcast a settled table of words only where it is known to be small; else the planner's join."""
-    return F.broadcast(df) if df.count() <= limit else df
+def _any(tests) -> Column:
+    return reduce(lambda a, b: a | b, tests)
 
 
-def revealing_terms(found: DataFrame, *, disclosure: float, support: int) -> DataFrame:
-    """(term): words of found(text, in_email, ...) that reveal a kind, from counts over all rows."""
-    every = range(len(KINDS))
-    has = [F.coalesce(F.size(f"in_{k}"), F.lit(0)) > 0 for k in KINDS]
-    # the first value of each kind stands for the document's entity
-    values = [F.when(h, F.xxhash64(F.col(f"in_{k}")[0]["value"])).alias(f"v{i}") for i, (h, k) in enumerate(zip(has, KINDS))]
+def _value(s: Column) -> Column:
+    """A value as one number, a hash with the kind in its last two bits: arrays of structs are slow to make distinct."""
+    return F.shiftleft(F.xxhash64(s["value"]), 2).bitwiseOR(s["rank"].cast("long"))
+
+
+def _kind(value: Column) -> Column:
+    return value.bitwiseAND(F.lit(3)).cast("int")
+
+
+def entities(found: DataFrame) -> DataFrame:
+    """(words, values, near, copy) of the documents of found(text, in_email, ...) that hold personal data.
+
+    values are the document's distinct values, near the words by each occurrence of a value, copy a hash of the text.
+    """
+    spans = F.concat(*(F.coalesce(F.col(f"in_{k}"), F.array().cast(SPAN)) for k in KINDS))
     outside = F.regexp_replace("text", F.lit(PATTERNS["email"]), F.lit(" "))  # an address doesn't reveal itself
-    told = settle(found.where(reduce(lambda a, b: a | b, has)).select(words_of(outside).alias("words"), *values), "entities")
-    with_term = told.select(F.explode("words").alias("term"), *(f"v{i}" for i in every))
-    near = with_term.groupBy("term").agg(*(F.count(f"v{i}").alias(f"c{i}") for i in every))
-    near = settle(near.where(reduce(lambda a, b: a | b, (F.col(f"c{i}") >= support for i in every))), "near")
+
+    def beside(blocks: Column):
+        def words(s: Column) -> Column:
+            low = F.greatest(s["start"] - WINDOW, F.lit(0))
+            # the outermost pieces may be parts of words
+            before = F.when(low > 0, F.regexp_replace(cut(blocks, low, s["start"] - low), r"^[^\x00-\x40\x5B-\x60\x7B-\x7F]+", "")).otherwise(cut(blocks, low, s["start"] - low))
+            after = F.regexp_replace(cut(blocks, s["end"], F.lit(WINDOW)), r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+$", "")
+            text = F.regexp_replace(F.concat(before, F.lit(" "), after), r"[^\s]*@[^\s]*", " ")
+            return F.struct(_value(s).alias("v"), words_of(text).alias("words"))
+
+        return words
+
+    near = _once(blocks_of(F.col("text")), lambda b: F.transform(F.col("spans"), beside(b)))
+    values = F.array_distinct(F.transform("spans", _value))
+    held = found.select("text", spans.alias("spans"), words_of(outside).alias("words")).where(F.size("spans") > 0)
+    return held.select("words", values.alias("values"), near.alias("near"), F.xxhash64("text").alias("copy"))
+
+
+def revealing_terms(found: DataFrame, *, disclosure: float, support: int, entity_support: int, bits_left: float) -> DataFrame:
+    """(term): words of found(text, in_email, ...) that reveal a kind or an entity, from counts over all rows."""
+    every = range(len(KINDS))
+    told = settle(entities(found), "entities")
+    has = [F.exists("values", partial(lambda i, v: _kind(v) == i, i)) for i in every]
+    kinds = told.select("words", "values", *(h.alias(f"h{i}") for i, h in enumerate(has)))
+    near = kinds.select(F.explode("words").alias("term"), *(f"h{i}" for i in every)).groupBy("term").agg(*(F.count_if(f"h{i}").alias(f"c{i}") for i in every))
+    least = min(support, entity_support)
+    near = settle(near.where(_any(F.col(f"c{i}") >= least for i in every)), "near")
     all_words = found.select(F.explode(words_of(F.col("text"))).alias("term"))
-    counts = settle(all_words.join(_sized(near), "term").groupBy("term", *(f"c{i}" for i in every)).agg(F.count(F.lit(1)).alias("n_term")), "counts")
+    counts = settle(all_words.join(few(near), "term").groupBy("term", *(f"c{i}" for i in every)).agg(F.count(F.lit(1)).alias("n_term")), "counts")
     n = found.count()
-    of = told.agg(*(F.count(f"v{i}") for i in every)).first()
+    of = kinds.agg(*(F.count_if(f"h{i}") for i in every)).first()
 
     def tells(i: int) -> Column:
         if not of[i] or of[i] == n:
@@ -125,37 +206,63 @@ def revealing_terms(found: DataFrame, *, disclosure: float, support: int) -> Dat
         mutual = F.log(F.col(f"c{i}") * F.lit(n / of[i]) / F.col("n_term"))
         return (F.col(f"c{i}") >= support) & (mutual >= disclosure * information)
 
-    able = settle(counts.where(reduce(lambda a, b: a | b, map(tells, every))).select("term", *(tells(i).alias(f"t{i}") for i in every)), "able")
-    # different values: counted for the few words that are left, each value once
-    pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.when(F.col(f"t{i}"), F.col(f"v{i}")).alias("v")) for i in every))).alias("e")
-    seen = with_term.join(_sized(able), "term").select("term", pairs).where("e.v is not null").select("term", "e.kind", "e.v").distinct()
-    return seen.groupBy("term", "kind").agg(F.count(F.lit(1)).alias("n_values")).where(F.col("n_values") >= support).select("term").distinct()
+    able = settle(counts.where(_any(map(tells, every))).select("term", *(tells(i).alias(f"t{i}") for i in every)), "able")
+    # different values: for the few words that are left, of every value of their documents
+    some = kinds.select(F.explode("words").alias("term"), "values").join(few(able), "term")
+    pairs = some.select("term", F.explode("values").alias("v"), *(f"t{i}" for i in every)).where(_any((_kind(F.col("v")) == i) & F.col(f"t{i}") for i in every))
+    seen = pairs.select("term", "v").distinct().groupBy("term", _kind(F.col("v")).alias("kind")).agg(F.count(F.lit(1)).alias("n_values"))
+    of_kind = seen.where(F.col("n_values") >= support).select("term")
+
+    # texts, not documents, count here: repeats of a text are no evidence; a word's own documents bound its texts from above
+    beside = told.select("copy", F.explode("near").alias("e")).select("copy", "e.v", F.explode("e.words").alias("term")).distinct()
+    together = beside.groupBy("term", "v").agg(F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") >= entity_support)
+    sure = together.join(counts.select("term", "n_term"), "term")
+    of_entity = sure.where(F.log2(F.col("n_term") / F.col("n_texts")) <= bits_left).select("term")
+    out = settle(of_kind.unionByName(of_entity).distinct(), "revealing")
+    forget(told, near, counts, able)
+    return out
 
 
-def find(docs: DataFrame, *, disclosure: float = 0.9, support: int = 20, literal_terms: int = 5000) -> DataFrame:
+def find(docs: DataFrame, *, disclosure: float = 0.9, support: int = 20, entity_support: int = 5, bits_left: float = 0.25, literal_bytes: int = 1 << 20) -> DataFrame:
     """docs with columns in_email, in_ip, in_card, in_phone, in_term of spans; text null is empty.
 
-    Up to `literal_terms` revealing words are part of the plan; more are a table that is joined by text.
+    Revealing words of up to `literal_bytes` in all are part of the plan; more are a table that is joined by text.
     """
     rows = base_spans(docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    terms = settle(revealing_terms(rows, disclosure=disclosure, support=support), "revealing")
-    n = terms.count()
-    if not n:
+    terms = revealing_terms(rows, disclosure=disclosure, support=support, entity_support=entity_support, bits_left=bits_left)
+    held = terms.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("term") + 16).alias("bytes")).first()
+    if not held["n"]:
         return rows.withColumn("in_term", F.lit(None).cast(SPAN))
-    if n <= literal_terms:
-        some = F.array(*(F.lit(r["term"]) for r in terms.collect()))
-        rows = rows.withColumn("any", F.nullif(F.array_join(F.sort_array(F.array_intersect(words_of(F.col("text")), some)), "|"), F.lit("")))
+    if held["bytes"] <= literal_bytes:
+        own = sorted(r["term"] for r in terms.collect())
+        rows = rows.withColumn("any", _alternatives(F.filter(words_of(F.col("text")), lambda w: w.isin(own))))
     else:
-        slim = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        held = slim.select(F.xxhash64("text").alias("h"), F.explode(words_of(F.col("text"))).alias("term")).join(_sized(terms), "term")
-        by_text = settle(held.groupBy("h").agg(F.array_join(F.sort_array(F.collect_set("term")), "|").alias("any")), "held")
-        rows = rows.withColumn("h", F.xxhash64("text")).join(by_text, "h", "left").drop("h")
+        rows = _joined_terms(rows, docs, terms)
     letters = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
     pattern = F.concat(F.lit(f"(?<!{letters})(?:"), F.col("any"), F.lit(f")(?!{letters})"))
     spans = F.when(F.col("any").isNotNull(), placed(F.col("text"), pattern, len(KINDS)))
     return rows.withColumn("in_term", spans).drop("any")
 
 
+def _alternatives(words: Column) -> Column:
+    return F.nullif(F.array_join(F.sort_array(words), "|"), F.lit(""))
+
+
+def _joined_terms(rows: DataFrame, docs: DataFrame, terms: DataFrame, salts: int = 16) -> DataFrame:
+    """rows with `any` by a join on the text's digest; copies of a text are dealt over `salts` keys."""
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    slim = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    each = slim.select(digest.alias("h"), F.explode(words_of(F.col("text"))).alias("term")).join(few(terms), "term")
+    by_text = settle(each.groupBy("h").agg(_alternatives(F.collect_set("term")).alias("any")), "held")
+    digested = rows.withColumn("h", digest)
+    small = few(by_text)
+    if small is not by_text:
+        return digested.join(small, "h", "left").drop("h")
+    own = row_key(rows)[0]
+    spread = by_text.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return digested.withColumn("salt", F.pmod(own, F.lit(salts)).cast("int")).join(spread, ["h", "salt"], "left").drop("h", "salt")
+
+
 def _all(kinds: tuple[str, ...]) -> Column:
     none = F.array().cast(SPAN)
     return F.array_sort(F.concat(*(F.coalesce(F.col(f"in_{k}"), none) for k in kinds)))
@@ -182,16 +289,23 @@ def sanitise(docs: DataFrame, **how) -> DataFrame:
     """docs with personal data replaced by labels: the union of all spans, overlapping ones as the first."""
     kinds = (*KINDS, "term")
     label = F.array(*(F.lit(LABELS[k]) for k in kinds))
-    text, spans = F.col("text"), _all(kinds)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    text = F.col("text")
+
+    def clean(spans: Column) -> Column:
+        ends = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        return _once(F.struct(blocks_of(text).alias("blocks"), ends.alias("ends")), partial(redrawn, spans))
+
+    def redrawn(spans: Column, x: Column) -> Column:
+        """The text up to each span that no earlier one reaches into, its label, and the rest."""
+
+        def piece(s: Column, i: Column) -> Column:
+            upto = F.coalesce(F.get(x["ends"], i - 1), F.lit(0))
+            return F.when(s["start"] >= upto, F.concat(cut(x["blocks"], upto, s["start"] - upto), F.get(label, s["rank"]))).otherwise("")
 
-    def add(acc: Column, s: Column) -> Column:
-        fresh = F.struct(s["end"].alias("at"), F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), label[s["rank"]])).alias("parts"))
-        within = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(within)
+        last = F.get(x["ends"], F.size(spans) - 1)
+        return F.concat(F.array_join(F.transform(spans, piece), ""), cut(x["blocks"], last, F.length(text) - last))
 
-    whole = F.aggregate(spans, start, add, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
     # the row travels as one column, so its other columns may have any names
-    found = find(docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), **how)
-    clean = F.when(F.col("row.text").isNull(), F.lit(None)).when(F.size(spans) > 0, whole).otherwise(text)
-    return found.select(F.col("row").withField("text", clean).alias("row")).select("row.*")
+    found = find(docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), **how).withColumn("all", _all(kinds))
+    out = F.when(F.col("row.text").isNull(), F.lit(None)).when(F.size("all") > 0, _once(F.col("all"), clean)).otherwise(text)
+    return found.select(F.col("row").withField("text", out).alias("row")).select("row.*")

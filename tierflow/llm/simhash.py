@@ -1,60 +1,134 @@
 """Near-duplicate groups by SimHash: exact tiled comparison of all fingerprints.
 
-Fingerprints are made in one pass over the whole texts. Equal fingerprints are one node. The nodes
-are dealt into cells by the population counts of their four 16-bit words, each cell into tiles of
-at most `tile` fingerprints. A pair within the radius differs by at most the radius in the sum of
-the four count differences, so only tile pairs of such cells are compared (with numpy exclusive-or
-and bit counts) and all others are skipped: every pair within the radius is found. A tile is one
-packed row, sent to each cell that it must meet, in one direction only. A task compares one cell
-with the tiles sent to it, one pair of tiles at a time, and keeps of their links those that a
-union-find needs: the components of a tile pair are those of all its links, with fewer links than
-the two tiles have fingerprints. Components of the whole are found by joins (see graph).
-
-Tiles of one cell pair are further dealt over tasks, so that neither a large cell nor a group of
-near copies lands in one task.
-
-Defined results: null text and text without words have fingerprint zero and link like any other;
-repeated rows share their component; a null doc_id is the smallest id of no component that has
-others; an empty table gives no rows; extra columns are ignored.
+Fingerprints are made in one pass over the whole texts. Documents of equal fingerprints are one node.
+Nodes are dealt into cells by population counts, each cell into tiles of about `tile` fingerprints by
+hash. Two fingerprints within a radius differ by at most that in the sum of their words' population
+counts, so only tiles of such cells meet (numpy exclusive-or and bit counts) and all other tile pairs
+are skipped: every pair within the radius is found.
+
+A cell's tiles are dealt into gangs of GANG. A gang is the unit of work: it holds its own tiles and is
+sent, one by one, the tiles that it must compare with, those of its own cell with a smaller or equal
+number and those of the cells one allowed step on. So a cell of any size is spread over tasks, and a
+task holds one gang and one tile. Of the links that it finds it keeps those that a union-find needs,
+fewer than it has fingerprints. Components of the whole are found by joins (see graph).
+
+group() is the contract of `op4`: one word of 64 bits over shingles with their repeats, radius 2.
+similar_groups() takes candidates at a wide radius, for a Jaccard similarity of word shingles: the
+fingerprint has WIDE words over the set of shingles, cells go by set size and population count, and
+documents that have a candidate are compared once more with their whole sets at hand, where a link
+counts only if the sets have the similarity. Nearest candidates come first, and those already joined
+are passed over, so a group of copies costs about its size in exact tests; no candidate is left out.
+At a similarity of 0.8 a bit differs with a probability of 0.15 (0.19 at worst, for sets of 4 and 5),
+so 256 bits differ in 38.7 (48.6) bits with a deviation of 5.7 (6.3): RADIUS is 4 deviations more.
+Sets of fewer than 4 shingles are similar by 0.8 only if they are equal, which equal fingerprints show.
+
+Defined results: null text and text without words have fingerprint zero and are one group in group(),
+and one group of empty sets in similar_groups(); repeated rows share their component; a null doc_id
+is the smallest id of no component that has others; an empty table gives no rows; extra columns are
+ignored. without_near_duplicates() keeps one row of each group, whatever its ids: that of the smallest
+id (nulls last), of these the smallest row key, of equal rows any one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import product
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import settle, small_batches
+from .base import few, forget, row_key, settle
 from .graph import components
 
-WORDS = 4  # of 16 bits
+SLICES = 4  # of a 64-bit word, for population counts
+GANG, TILE = 16, 1024
+WIDE, RADIUS, FIRST = 4, 76, 24  # words of 64 bits; bits that may differ in all of them, and in the first
+LEAST = 4  # smaller sets are similar only if equal
+
+
+# fingerprints
+
+
+def split_words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # bytes: only A-Z change, white space is \x20 and \x09-\x0D
+
+
+def majority(h: np.ndarray, words: int = 1) -> np.ndarray:
+    """Words whose bits are 1 where over half of the rows of h (n, words) have them."""
+    counts = np.zeros(64 * words, dtype=np.int64)
+    h = h.reshape(-1, words)
+    for at in range(0, len(h), 16_384):
+        part = np.ascontiguousarray(h[at : at + 16_384].astype(">u8")).view(np.uint8).reshape(-1, 8 * words)
+        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(h)).view(">u8").astype(np.uint64)
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
     """Majority bits of the XXH64 (seed 42) of a text's word shingles; signed 64 bits; 0 without words."""
     import xxhash
 
-    words = (text or "").encode().lower().split()  # bytes: only A-Z change, white space is \x20 and \x09-\x0D
+    words = split_words(text)
     if not words:
         return 0
     joined, size = b" ".join(words), [len(w) for w in words]
-    n = max(1, len(words) - width + 1)
     ends = np.cumsum(np.array(size) + 1) - 1
     starts = (ends - size).tolist()
     ends = ends.tolist()[min(width, len(words)) - 1 :]
     one = xxhash.xxh64_intdigest
-    h = np.array([one(joined[s:e], 42) for s, e in zip(starts, ends)], dtype=np.uint64)
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 65_536):  # bit k of the hash is column 63 - k
-        counts += np.unpackbits(h[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n).view(">i8")[0])
+    return int(majority(np.array([one(joined[s:e], 42) for s, e in zip(starts, ends)], dtype=np.uint64)).view(np.int64)[0])
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads near ones (the finaliser of splitmix64)."""
+    x = x.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).astype(np.int64)
+
+
+def _odd(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 2**64, n, dtype=np.uint64) | np.uint64(1)
+
+
+class Shingler:
+    """Sets of shingle hashes; word hashes are remembered, as far as memory allows."""
+
+    def __init__(self, width: int):
+        import xxhash
+
+        self.one, self.width, self.factors = xxhash.xxh64_intdigest, width, _odd(width + 1, 3)
+        self.known: dict[bytes, int] = {}
+        self.turns = _odd(WIDE, 5)
+
+    def _hash(self, word: bytes) -> int:
+        if len(self.known) >= 500_000:
+            self.known.clear()
+        return self.known.setdefault(word, self.one(word, 42))
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        """Sorted and distinct; a text of fewer words than the width has one shingle, of none has none."""
+        words, known = split_words(text), self.known
+        if not words:
+            return np.zeros(0, dtype=np.uint64)
+        h = np.array([known.get(w) or self._hash(w) for w in words], dtype=np.uint64)
+        width = min(self.width, len(h))
+        n = len(h) - width + 1
+        out = np.full(n, np.uint64(width), dtype=np.uint64) * self.factors[-1]
+        for k in range(width):
+            out += h[k : k + n] * self.factors[k]
+        return np.unique(mix(out).view(np.uint64))
+
+    def wide(self, shingles: np.ndarray) -> np.ndarray:
+        """The WIDE words of a set."""
+        if not len(shingles):
+            return np.zeros(WIDE, dtype=np.uint64)
+        return majority(mix(shingles[:, None] * self.turns[None, :]).view(np.uint64), WIDE)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) for each row of docs."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -64,115 +138,198 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values that spreads near ones (the finaliser of splitmix64)."""
-    x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))).astype(np.int64)
-
+# cells, tiles and gangs
 
-def _cell(fps: np.ndarray) -> np.ndarray:
-    """The population counts of the four words, as one number in base 17."""
-    out = np.zeros(len(fps), dtype=np.int64)
-    u = fps.view(np.uint64)
-    for k in range(WORDS):
-        out = out * 17 + np.bitwise_count((u >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.int64)
-    return out
 
+class Grid:
+    """Cells as tuples of small numbers, each one number in base BASE, and the steps between cells that must meet."""
 
-def steps(radius: int) -> list[tuple[int, ...]]:
-    """Differences of cells that may hold pairs within the radius, one of each two directions."""
-    from itertools import product
+    BASE = 128
 
-    found = [s for s in product(range(-radius, radius + 1), repeat=WORDS) if sum(map(abs, s)) <= radius]
-    return [s for s in found if s >= (0,) * WORDS]
+    def __init__(self, steps: list[tuple[int, ...]]):
+        self.steps = [s for s in steps if s > (0,) * len(s)]
+        self.factors = np.array([self.BASE ** k for k in reversed(range(len(steps[0])))], dtype=np.int64)
 
+    def number(self, places: np.ndarray) -> np.ndarray:
+        return places.astype(np.int64) @ self.factors
 
-def _forest(a: np.ndarray, b: np.ndarray, radius: int, rows: int = 256) -> list[tuple[int, int]]:
-    """Links between two tiles that keep their components, each a true pair within the radius."""
-    parent: dict[int, int] = {}
+    def next(self, cell: int) -> list[int]:
+        """The cells one allowed step on."""
+        at = [cell // int(f) % self.BASE for f in self.factors]
+        to = [[a + d for a, d in zip(at, s)] for s in self.steps]
+        return [int(np.dot(t, self.factors)) for t in to if min(t) >= 0 and max(t) < self.BASE]
 
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    out = []
+def steps(radius: int) -> list[tuple[int, ...]]:
+    """Differences of the counts of SLICES words that may hold pairs within the radius."""
+    return [s for s in product(range(-radius, radius + 1), repeat=SLICES) if sum(map(abs, s)) <= radius]
+
+
+def slice_counts(fps: np.ndarray) -> np.ndarray:
+    """(n, SLICES): population counts of the 16-bit words of 64-bit fingerprints."""
+    shifts = np.arange(SLICES, dtype=np.uint64) * np.uint64(16)
+    return np.bitwise_count((fps.view(np.uint64)[:, None] >> shifts) & np.uint64(0xFFFF))
+
+
+def size_class(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Sets that can have the similarity are of the same class or of neighbouring ones."""
+    return np.floor(np.log(np.maximum(n, 1)) / -np.log(similarity) + 1e-9).astype(np.int64) % Grid.BASE
+
+
+NODE = "cell long, node long, fp binary, shingles binary"
+
+
+def gangs(nodes: DataFrame, grid: Grid, *, tile: int) -> DataFrame:
+    """(cell, gang, guest, near, part, tile) of nodes(NODE), by (cell, gang), a gang's own tiles before its guests.
+
+    A hot cell's tiles go to every gang after them: the work is quadratic in a cell, not a task's share of it.
+    """
+    spark = nodes.sparkSession
+    nodes = settle(nodes, "nodes")
+    # a row for each cell: of population counts at most 17^4, of sizes and counts at most 128 x 4, whatever the table
+    sizes = settle(nodes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("parts")), "sizes")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
+    dealt = nodes.join(F.broadcast(sizes), "cell").select("cell", part, F.struct("node", "fp", "shingles").alias("e"))
+    # grouped by tile, so the nodes of a hot cell don't meet before they are in tiles
+    tiles = settle(dealt.groupBy("cell", "part").agg(F.collect_list("e").alias("tile")), "tiles")
+    to = F.udf(grid.next, "array<long>", useArrow=False)
+    reach = sizes.select("cell", F.explode(to("cell")).alias("to")).join(sizes.select(F.col("cell").alias("to"), F.col("parts").alias("there")), "to")
+    reach = settle(reach.select("cell", "to", "there", F.lit(False).alias("near")).unionByName(sizes.select("cell", F.col("cell").alias("to"), F.col("parts").alias("there"), F.lit(True).alias("near"))), "reach")
+    own_gang = F.floor(F.col("part") / GANG).cast("int")
+    hosts = tiles.select("cell", own_gang.alias("gang"), F.lit(False).alias("guest"), F.lit(True).alias("near"), "part", "tile")
+    first = F.when(F.col("near"), own_gang).otherwise(F.lit(0))
+    last = F.floor((F.col("there") - 1) / GANG).cast("int")
+    sent = tiles.join(F.broadcast(reach), "cell").select(F.col("to").alias("cell"), F.explode(F.sequence(first, last)).alias("gang"), F.lit(True).alias("guest"), "near", "part", "tile")
+    # a task for so many tile pairs, of about a million comparisons each
+    pairs = reach.join(sizes, "cell").agg(F.sum(F.col("parts").cast("double") * F.col("there"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(pairs / 4096), 100_000))
+    return hosts.unionByName(sent).repartition(n, "cell", "gang").sortWithinPartitions("cell", "gang", "guest")
+
+
+class Forest:
+    """Components of the nodes of one gang and one tile."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def labels(self) -> np.ndarray:
+        while ((further := self.up[self.up]) != self.up).any():
+            self.up = further
+        return self.up
+
+    def join(self, i: int, j: int) -> bool:
+        up = self.up
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        while up[j] != j:
+            up[j] = j = up[up[j]]
+        if i == j:
+            return False
+        up[max(i, j)] = min(i, j)
+        return True
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, first: int):
+    """(i, j, distance) of the rows of a and b (n, words) within the radius, in blocks of a bounded size."""
+    rows = max(1, (1 << 20) // max(len(b), 1))
     for at in range(0, len(a), rows):
-        i, j = np.nonzero(np.bitwise_count(a[at : at + rows, None] ^ b[None, :]) <= radius)
-        for x, y in zip(a[at + i].tolist(), b[j].tolist()):
-            if x != y and (p := root(x)) != (q := root(y)):
-                parent[p] = q
-                out.append((x, y))
-    return out
+        d = np.bitwise_count(a[at : at + rows, None, 0] ^ b[None, :, 0])
+        flat = np.flatnonzero(d <= first)
+        i, j = flat // len(b), flat % len(b)
+        dist = d.ravel()[flat].astype(np.int64)
+        if a.shape[1] > 1 and len(flat):
+            dist += np.bitwise_count(a[at + i, 1:] ^ b[j, 1:]).sum(axis=1, dtype=np.int64)
+            ok = dist <= radius
+            i, j, dist = i[ok], j[ok], dist[ok]
+        if len(i):
+            yield at + i, j, dist
+
+
+def compare(work: DataFrame, words: int, radius: int, first: int, accept: Callable | None, found: str) -> DataFrame:
+    """Links (a, b) of the gangs of work; found="nodes": instead the nodes (a, a) that have a candidate."""
+
+    def of(tile, part: int) -> tuple:
+        nodes, fps, sets = (tile.field(k) for k in range(3))
+        fps = np.frombuffer(b"".join(fps.to_pylist()), dtype=np.uint64).reshape(-1, words)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in sets.to_pylist()] if accept else [None] * len(nodes)
+        return nodes.to_numpy(), fps, np.full(len(nodes), part), sets
+
+    def meet(host, guest, near: bool):
+        """Pairs that keep the components of all accepted links of a host gang and a guest tile."""
+        hn, hf, hp, hs = host
+        gn, gf, gp, gs = guest
+        if near:  # of a cell's own pairs each one once
+            use = np.flatnonzero(hp >= gp[0])
+            hn, hf, hp, hs = hn[use], hf[use], hp[use], [hs[k] for k in use] if accept else hs
+        counts_h, counts_g = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (hf, gf))
+        if not len(hn) or counts_h.min() - counts_g.max() > radius or counts_g.min() - counts_h.max() > radius:
+            return
+        forest, touched = Forest(len(hn) + len(gn)), set()
+        for i, j, dist in near_pairs(gf, hf, radius, first):
+            if near:
+                ok = (hp[j] > gp[0]) | (hn[j] > gn[i])
+                i, j, dist = i[ok], j[ok], dist[ok]
+            if found == "nodes":
+                touched.update(gn[np.unique(i)].tolist(), hn[np.unique(j)].tolist())
+                continue
+            order = np.argsort(dist, kind="stable")
+            for at in range(0, len(order), 2048):
+                x, y = len(hn) + i[order[at : at + 2048]], j[order[at : at + 2048]]
+                label = forest.labels()
+                open_ = label[x] != label[y]  # the others are joined already
+                for p, q in zip(x[open_].tolist(), y[open_].tolist()):
+                    if accept is None or forest.up[p] != forest.up[q] and accept(gs[p - len(hn)], hs[q]):
+                        if forest.join(p, q):
+                            yield int(gn[p - len(hn)]), int(hn[q])
+        yield from ((n, n) for n in sorted(touched))
+
+    def run(batches):
+        key, own, host = None, [], None
+        for batch in batches:
+            cells, gang, guest, near, part = (batch.column(k).to_pylist() for k in range(5))
+            for k, tile in enumerate(batch.column(5)):
+                if (cells[k], gang[k]) != key:
+                    key, own, host = (cells[k], gang[k]), [], None
+                if not guest[k]:
+                    own.append(of(tile.values, part[k]))
+                    continue
+                if host is None:
+                    host = tuple(np.concatenate(x) for x in list(zip(*own))[:3]) + ([s for o in own for s in o[3]],)
+                links = list(meet(host, of(tile.values, part[k]), near[k]))
+                if links:
+                    a, b = zip(*links)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return work.mapInArrow(run, "a long, b long")
+
+
+# groups by fingerprint
 
 
-def links(nodes: DataFrame, *, radius: int = 2, tile: int = 1024) -> DataFrame:
-    """(a, b): links of nodes(fp), distinct fingerprints, that keep the components of all links; mixed ids."""
-    reach = steps(radius)
+def links(nodes: DataFrame, *, radius: int = 2, tile: int = TILE) -> DataFrame:
+    """(a, b): links of nodes(fp), distinct fingerprints, that keep the components of all links; ids are fingerprints."""
+    grid = Grid(steps(radius))
 
     def split(batches):
         for b in batches:
             fps = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(_cell(fps)), pa.array(fps)], names=["cell", "fp"])
-
-    cells = settle(nodes.select("fp").mapInArrow(split, "cell long, fp long"), "cells")
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    # tiles of a cell by hash: about `tile` each, none a fixed share of a large cell
-    # the sizes have a row for each cell: 17^4 at most, whatever the table
-    dealt = cells.join(F.broadcast(sizes), "cell").select("cell", "fp", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / F.lit(tile))).alias("part"))
-    tiles = settle(dealt.groupBy("cell", "part").agg(F.collect_list("fp").alias("fps")), "tiles")
-    own = tiles.select("cell", "part", F.col("fps").alias("mine"))
-
-    def send(batches):
-        """Each tile to the cells it must meet: itself (step 0) and those one allowed step on."""
-        for b in batches:
-            c = b.column(0).to_numpy(zero_copy_only=False)
-            counts = np.stack([c // 17 ** (WORDS - 1 - k) % 17 for k in range(WORDS)], axis=1)
-            for s in reach:
-                to = counts + np.array(s)
-                ok = np.flatnonzero(((to >= 0) & (to <= 16)).all(axis=1))
-                if len(ok):
-                    cell = (to[ok] @ np.array([17 ** (WORDS - 1 - k) for k in range(WORDS)])).astype(np.int64)
-                    picked = b.take(pa.array(ok))
-                    yield pa.RecordBatch.from_arrays([pa.array(cell), picked.column(0), picked.column(1), picked.column(2)], names=["cell", "of", "part2", "theirs"])
-
-    sent = tiles.mapInArrow(send, "cell long, of long, part2 long, theirs array<long>")
-    pairs = sent.join(own, "cell").where("cell <> of or part2 <= part")
-
-    def compare(batches):
-        for b in batches:
-            a, c = [], []
-            for theirs, mine in zip(b.column(0), b.column(1)):
-                x = np.asarray(theirs.values, dtype=np.int64).view(np.uint64)
-                y = np.asarray(mine.values, dtype=np.int64).view(np.uint64)
-                for p, q in _forest(x, y, radius):
-                    a.append(p)
-                    c.append(q)
-            a, c = mix(np.array(a, dtype=np.uint64)), mix(np.array(c, dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+            raw = [f.tobytes() for f in fps]
+            yield pa.RecordBatch.from_arrays([pa.array(grid.number(slice_counts(fps))), pa.array(fps), pa.array(raw, pa.binary()), pa.array([b""] * len(raw), pa.binary())], names=["cell", "node", "fp", "shingles"])
 
-    small_batches(nodes.sparkSession)
-    return pairs.select("theirs", "mine").mapInArrow(compare, "a long, b long")
+    work = gangs(nodes.select("fp").mapInArrow(split, NODE), grid, tile=tile)
+    return compare(work, 1, radius, radius, None, "links")
 
 
-def group(docs: DataFrame, *, radius: int = 2) -> DataFrame:
+def group(docs: DataFrame, *, radius: int = 2, tile: int = TILE) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs: component_id is the smallest doc_id reachable."""
     own = settle(fingerprints(docs), "fingerprints")
     nodes = settle(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-
-    @F.pandas_udf("long")
-    def mixed(fp: pd.Series) -> pd.Series:
-        return pd.Series(mix(fp.to_numpy(dtype=np.int64)))
-
-    roots = components(links(nodes, radius=radius))
-    known = nodes.withColumn("node", mixed("fp")).join(roots, "node", "left")
-    known = known.select("fp", "first_id", F.coalesce("root", "node").alias("root"))
+    roots = components(links(nodes, radius=radius, tile=tile))
+    known = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     known = settle(known, "roots")
     least = settle(known.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     named = settle(known.join(least, "root").select("fp", "component_id"), "components")
+    forget(nodes, roots, known, least)
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -181,7 +338,106 @@ def near_duplicates(docs: DataFrame, *, radius: int = 2) -> DataFrame:
     return group(docs, radius=radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, *, radius: int = 2) -> DataFrame:
-    """The rows of docs, all columns, that stay: of each group the smallest doc_id. Rows without an id stay."""
-    gone = settle(group(docs, radius=radius).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
+# groups by similarity
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have the Jaccard similarity."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= similarity * (len(a) + len(b) - common) - 1e-9
+
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """(k1, k2, doc_id, node, n, fp) for each row of docs(k1, k2, doc_id, text): node is a digest of its set."""
+    from xxhash import xxh3_64_intdigest
+
+    def run(batches):
+        of = Shingler(width)
+        for b in batches:
+            node, n, fp = [], [], []
+            for t in b.column(3):
+                s = of(t.as_py())
+                node.append(xxh3_64_intdigest(s.tobytes()))
+                n.append(len(s))
+                fp.append(of.wide(s).tobytes())
+            nodes = pa.array(np.array(node, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], nodes, pa.array(n, pa.int64()), pa.array(fp, pa.binary())], names=["k1", "k2", "doc_id", "node", "n", "fp"])
+
+    return docs.mapInArrow(run, "k1 long, k2 long, doc_id long, node long, n long, fp binary")
+
+
+def sets_of(texts: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of texts(node, text), as the bytes of the sorted hashes."""
+
+    def run(batches):
+        of = Shingler(width)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["node", "shingles"])
+
+    return texts.mapInArrow(run, "node long, shingles binary")
+
+
+def similar_links(own: DataFrame, docs: DataFrame, *, width: int, similarity: float, tile: int = TILE) -> DataFrame:
+    """(a, b): verified links of the nodes of own (see sketches) that keep the components of all of them."""
+    grid = Grid(list(product((-1, 0, 1), repeat=2)))
+
+    def cells(nodes: DataFrame) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                raw = b.column(2).to_pylist()
+                fps = np.frombuffer(b"".join(raw), dtype=np.uint64).reshape(-1, WIDE)
+                places = np.stack([size_class(b.column(1).to_numpy(), similarity), np.bitwise_count(fps).sum(axis=1) // RADIUS], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(grid.number(places)), b.column(0), b.column(2), b.column(3)], names=["cell", "node", "fp", "shingles"])
+
+        return nodes.select("node", "n", "fp", "shingles").mapInArrow(run, NODE)
+
+    nodes = own.where(F.col("n") >= LEAST).groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min(F.struct("k1", "k2")).alias("k"))
+    nodes = settle(nodes, "sets")
+    slim = nodes.withColumn("shingles", F.lit(b""))
+    seen = compare(gangs(cells(slim), grid, tile=tile), WIDE, RADIUS, FIRST, None, "nodes")
+    seen = settle(seen.select(F.col("a").alias("node")).distinct(), "seen")
+    wanted = settle(nodes.join(few(seen), "node").select("node", "n", "fp", "k.k1", "k.k2"), "wanted")
+    texts = docs.join(few(_part(wanted, "node", "k1", "k2")), ["k1", "k2"]).select("node", "text")
+    sets = sets_of(texts, width).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    work = gangs(cells(wanted.join(sets, "node")), grid, tile=max(1, tile // 4))
+    return compare(work, WIDE, RADIUS, FIRST, lambda a, b: similar(a, b, similarity), "links")
+
+
+def _part(settled: DataFrame, *columns: str) -> DataFrame:
+    """Some columns of a settled table, which is then measured as the whole of it."""
+    out = settled.select(*columns)
+    out._settled_path = settled._settled_path
+    return out
+
+
+def similar_groups(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(k1, k2, doc_id, root) for each row of docs: rows of one root are a group; k1, k2 are the row's key."""
+    k1, k2 = row_key(docs)
+    slim = docs.select(k1.alias("k1"), k2.alias("k2"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = settle(sketches(slim, width), "sketches")
+    roots = components(similar_links(own, slim.select("k1", "k2", "text"), width=width, similarity=similarity))
+    return own.join(roots, "node", "left").select("k1", "k2", "doc_id", F.coalesce("root", "node").alias("root"))
+
+
+def without_near_duplicates(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, all columns, that stay: one of each group of similar texts."""
+    known = settle(similar_groups(docs, width=width, similarity=similarity), "similar")
+    keys = known.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("root").alias("root"), F.count(F.lit(1)).alias("times"))
+    keys = settle(keys, "keys")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("k1"), F.col("k2"))
+    best = settle(keys.groupBy("root").agg(F.min(order).alias("best")), "best")
+    mine = keys.join(best, "root").withColumn("stays", (F.col("best.k1") == F.col("k1")) & (F.col("best.k2") == F.col("k2")))
+    gone = settle(mine.where("not stays or times > 1").select("k1", "k2", "stays"), "gone")
+    k1, k2 = row_key(docs)
+    # the row travels as one column, so its other columns may have any names
+    rows = docs.select(k1.alias("k1"), k2.alias("k2"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    single = rows.join(few(_part(gone, "k1", "k2")), ["k1", "k2"], "left_anti").select("row")
+    # rows that are there several times: one of each, found by partial aggregation where they lie
+    more = settle(gone.where("stays").select("k1", "k2"), "again")
+    again = rows.join(few(more), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row")
+    return single.unionByName(again).select("row.*")
+

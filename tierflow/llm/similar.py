@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import few, settle, small_batches
+from .base import few, settle
 from .graph import components
 from .simhash import mix
 
@@ -159,7 +159,7 @@ def links(own: DataFrame, docs: DataFrame, *, width: int, similarity: float) ->
     buckets = settle(held.where(F.size("nodes") > 1).select(F.array_sort("nodes").alias("nodes")).distinct(), "buckets")
 
     wanted = settle(buckets.select(F.explode("nodes.node").alias("node")).distinct().join(nodes, "node").select("node", "h"), "wanted")
-    texts = docs.join(few(wanted, 1_000_000), "h").select("node", "text")
+    texts = docs.join(few(wanted), "h").select("node", "text")
     sets = settle(sets_of(texts, width).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
     star = buckets.select(F.col("nodes")[0].alias("hub"), F.explode("nodes").alias("e")).where("hub.node < e.node")
@@ -177,7 +177,6 @@ def links(own: DataFrame, docs: DataFrame, *, width: int, similarity: float) ->
 
 def groups(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for each row of docs that has an id: the smallest doc_id of its group."""
-    small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     slim = slim.select("doc_id", F.xxhash64("text").alias("h"), "text")
     own = settle(sketches(slim, width), "sketches")

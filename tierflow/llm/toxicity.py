@@ -9,17 +9,21 @@ the labels' own share of toxic rows, so that the best common threshold is 0.7, a
 for each language.
 
 The score depends on the text alone. The fit uses a bounded sample of labelled rows: at most
-`toxic_rows` and `other_rows` of the labels, smallest hash of the id first, and `max_chars` characters; the
-model's size is fixed, so it can be broadcast. Scoring is one map over the input, no shuffle.
+`toxic_rows` and `other_rows` of the labels, smallest hash of the id first, each id's text once, and
+`max_chars` characters, passing over texts that don't fit in any more; the model's size is fixed, so
+it can be broadcast. Scoring is one map over the input, no shuffle. Very long texts are read in parts
+and pooled over overlapping windows, so a worker holds the vectors of WINDOW words at most.
 
 Defined results: null and empty texts get the score of a text without words; without labelled
-training rows of both kinds every score is the share of toxic ones among them (0 without any);
-rows with a null label are left out of the fit; repeated rows return as often as they occur; a null
-lang has the common threshold; an empty table gives no rows; extra columns are ignored.
+training rows of both kinds every score is the share of toxic ones among them (0 without any), with
+a warning; rows with a null label are left out of the fit; an id with several texts is fitted on that
+of the smallest hash; an id labelled both ways counts as both; repeated rows return as often as they
+occur; a null lang has the common threshold; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 
 import numpy as np
@@ -27,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import small_batches
 
 BUCKETS, DIM, FILTERS, WIDTHS, STEM = 1 << 17, 16, 12, (1, 2, 3), 6
 POINT = 0.7
+#: Words whose vectors are held at once; bytes of a text that are split at once.
+WINDOW, PART = 100_000, 1 << 20
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, lang string, threshold double, rejected boolean"
 
 #: Bytes that end a word: all of ASCII but the letters (texts are lower-cased before).
@@ -51,11 +56,17 @@ class Words(dict):
 
     def rows(self, text: str | None) -> np.ndarray:
         """(words, 2): rows of the two embedding tables."""
-        if len(self) > 400_000:
-            self.clear()
-        ws = (text or "").lower().encode().translate(_LETTERS).split()
-        k = np.fromiter(map(self.__getitem__, ws), dtype=np.int64, count=len(ws))
-        return np.stack([k // BUCKETS, k % BUCKETS], axis=1).astype(np.int32)
+        raw, at, found = (text or "").lower().encode().translate(_LETTERS), 0, []
+        while at < len(raw) or not found:
+            end = raw.find(b" ", at + PART) if at + PART < len(raw) else -1
+            end = end if end >= 0 else len(raw)
+            if len(self) > 400_000:
+                self.clear()
+            ws = raw[at:end].split()
+            k = np.fromiter(map(self.__getitem__, ws), dtype=np.int64, count=len(ws))
+            found.append(np.stack([k // BUCKETS, k % BUCKETS], axis=1).astype(np.int32))
+            at = end
+        return found[0] if len(found) == 1 else np.concatenate(found)
 
 
 class Model:
@@ -77,16 +88,16 @@ class Model:
     def params(self) -> list[np.ndarray]:
         return [*self.embed, *(self.conv[k] for k in WIDTHS), *(self.bias[k] for k in WIDTHS), self.out, self.out_bias]
 
-    def forward(self, docs: list[np.ndarray], trace: bool = False):
-        """Pooled responses of each text; with trace, also the place of each maximum."""
+    def forward(self, docs: list[np.ndarray], trace: bool = False, within: int | None = None):
+        """Pooled responses of each text, of its first `within` places; with trace, also the place of each maximum."""
         pad = max(WIDTHS) - 1
-        sizes = np.array([len(d) for d in docs])
+        sizes = np.array([max(len(d), 1) for d in docs])  # a text without words has one place, of zeros
         starts = np.concatenate([[0], np.cumsum(sizes + pad)[:-1]])
-        rows = np.concatenate([np.concatenate([d, np.full((pad, 2), -1, dtype=np.int32)]) for d in docs])
+        rows = np.concatenate([np.concatenate([d, np.full((pad + (not len(d)), 2), -1, dtype=np.int32)]) for d in docs])
         x = self.embed[0][rows[:, 0]] + self.embed[1][rows[:, 1]]
         x[rows[:, 0] < 0] = 0
         n = len(rows)
-        ends = starts + np.maximum(sizes, 1)  # a text without words has one place, of zeros
+        ends = starts + (sizes if within is None else np.minimum(sizes, within))
         pooled, places = [], []
         for k in WIDTHS:
             y = np.broadcast_to(self.bias[k], (n, FILTERS)).copy()
@@ -101,16 +112,39 @@ class Model:
             pooled.append(np.maximum(best, 0))
         return np.concatenate(pooled, axis=1), (x, rows, places)
 
-    def logits(self, docs: list[np.ndarray], words: int = 100_000) -> np.ndarray:
+    def pooled(self, doc: np.ndarray, words: int) -> np.ndarray:
+        """Pooled responses of a long text: the maxima over windows, each with the words that its last filters reach."""
+        pad, best = max(WIDTHS) - 1, None
+        for at in range(0, len(doc), words):
+            part = doc[at : at + words + pad]
+            whole = at + words + pad >= len(doc)
+            # filters that would run over the window's end start in the next one
+            got = self.forward([part])[0] if whole else self.forward([part], within=words)[0]
+            best = got if best is None else np.maximum(best, got)
+            if whole:
+                break
+        return best
+
+    def logits(self, docs: list[np.ndarray], words: int = WINDOW) -> np.ndarray:
         out, part, size = [], [], 0
+
+        def close() -> None:
+            if part:
+                out.append(self.forward(part)[0] @ self.out + self.out_bias)
+                part.clear()
+
         for d in docs:
+            if len(d) > words:
+                close()
+                out.append(self.pooled(d, words) @ self.out + self.out_bias)
+                size = 0
+                continue
             part.append(d)
             size += len(d)
             if size >= words:
-                out.append(self.forward(part)[0] @ self.out + self.out_bias)
-                part, size = [], 0
-        if part:
-            out.append(self.forward(part)[0] @ self.out + self.out_bias)
+                close()
+                size = 0
+        close()
         return np.concatenate(out) if out else np.zeros(0)
 
     def scores(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -151,6 +185,7 @@ def fit(texts: list[str], toxic: np.ndarray, langs: list[str | None], share: flo
     """A calibrated model; share is the part of toxic rows among all that could have been sampled."""
     model, words = Model(seed), Words()
     if not len(toxic) or toxic.min() == toxic.max():
+        warnings.warn("toxicity: no labelled rows of both kinds to fit on, every score is one number", stacklevel=2)
         model.constant = float(toxic.mean()) if len(toxic) else 0.0
         return model
     docs = [words.rows(t) for t in texts]
@@ -252,18 +287,22 @@ def train(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = 2000, other_r
     if not picked:
         return fit([], np.zeros(0), [], 0.0)
     sample = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).join(F.broadcast(sample), "doc_id")
-    order, kept, size = F.xxhash64("doc_id"), [], 0
-    cut = rows.select("doc_id", "toxic", F.length("text").alias("n"), order.alias("h")).collect()
-    for r in sorted(cut, key=lambda r: (r["h"], r["doc_id"])):
-        size += r["n"] or 0
-        if size > max_chars:
-            break
-        kept.append((r["doc_id"], r["toxic"]))
+    ids = F.broadcast(sample.select("doc_id").distinct())  # at most toxic_rows + other_rows
+    # an id's rows meet in partial minima where they lie: one text for each id, however often it occurs
+    text = F.struct(F.xxhash64("text"), F.length("text").alias("n"), F.col("text"), F.col("lang"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).join(ids, "doc_id")
+    sizes = {r["doc_id"]: r["n"] or 0 for r in rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.length("text").alias("n"))).alias("m")).select("doc_id", "m.n").collect()}
+    order = {r["doc_id"]: k for k, r in enumerate(sample.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").collect())}
+    kept, size = set(), 0
+    for i in sorted(sizes, key=order.__getitem__):
+        if size + sizes[i] <= max_chars:  # a text that doesn't fit is passed over
+            kept.add(i)
+            size += sizes[i]
     if not kept:
         return fit([], np.zeros(0), [], 0.0)
-    own = docs.sparkSession.createDataFrame(kept, "doc_id long, toxic int")
-    got = rows.drop("toxic").join(F.broadcast(own), "doc_id").withColumn("h", order).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending"), ("toxic", "ascending")])
+    own = docs.sparkSession.createDataFrame([(i,) for i in kept], "doc_id long")
+    found = rows.join(F.broadcast(own), "doc_id").groupBy("doc_id").agg(F.min(text).alias("m")).select("doc_id", "m.text", "m.lang")
+    got = found.join(F.broadcast(sample), "doc_id").withColumn("h", F.xxhash64("doc_id")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending"), ("toxic", "ascending")])
     total = sum(counts.values())
     return fit(got["text"].to_pylist(), got["toxic"].to_numpy().astype(np.int64), got["lang"].to_pylist(), counts.get(1, 0) / total)
 
@@ -273,7 +312,6 @@ def score(docs: DataFrame, labels: DataFrame, *, threshold: float = POINT, **sam
 
     predicted is by the one threshold, rejected by the threshold of the row's language.
     """
-    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **sample))
     spread = model.value.thresholds
 
@@ -295,7 +333,6 @@ def score(docs: DataFrame, labels: DataFrame, *, threshold: float = POINT, **sam
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **sample) -> DataFrame:
     """The rows of docs, all columns, that score() wouldn't reject: one map over docs."""
-    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **sample))
     text, lang = docs.columns.index("text"), docs.columns.index("lang")
 

@@ -3,12 +3,15 @@
 write_archives() writes one record for each page: a response with the payload, or, for a payload of
 at least `least` bytes that a smaller page_id has as well, a revisit that refers to that response.
 Records are text rows ended by the format's own CRLF CRLF, so Spark's committed text writer makes
-the (gzip) archives, in any file system that Spark reaches.
+the archives, in any file system that Spark reaches. Pages are written by size class, with so many
+records to a file that none holds more than ARCHIVE bytes of payload (a larger page has one to itself).
+Archives are whole-file gzip members; with compression "none" an index row's offset is its place in the file.
 
-read_archives() parses the archives by their content lengths and gives each one's index rows as a
-locally sorted run. merge_runs() deals the runs by range of (URL key, timestamp, page_id) and merges
-the pieces of each range with a loser tree: capture histories in global order. A range holds about
-`range_rows` index rows, so memory is bounded; a URL with very many captures is cut by timestamp.
+read_archives() unpacks an archive as a stream, record by record, by their content lengths, and gives
+its index rows as a locally sorted run. The runs are a written table, and merge_runs() merges them from
+there, as external sorting does: they are dealt by range of (URL key, timestamp, page_id, archive,
+offset), and the pieces of a range's runs go through a loser tree. These keys are unique, so a range
+holds about `range_rows` index rows however often a capture is repeated, and a task one range.
 
 Equal payloads are found on slim rows (id and digest), with partial minima before the shuffle; pages
 meet their verdict by id, so a payload that a third of all pages share doesn't meet in one task.
@@ -30,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import scratch_path, settle, small_batches
+from .base import forget, scratch_path, settle
 
 CRLF = "\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -39,12 +42,15 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Captures without a time of their own are taken to be seconds apart, by page_id, from this one on.
 FIRST = 1_704_067_200
 
+#: Payload bytes of an archive, and the size classes of pages: each one's largest page.
+ARCHIVE, CLASSES = 256 << 20, (64 << 10, 1 << 20, 16 << 20, None)
+
 INDEX = "url_key string, ts string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, archive string, offset long"
 
 
 def verdicts(pages: DataFrame, least: int) -> DataFrame:
     """(page_id, digest, refers_to) of the pages whose record is a revisit."""
-    slim = settle(pages.where(F.col("bytes") >= least).select("page_id", "digest"), "digests")
+    slim = pages.where(F.col("bytes") >= least).select("page_id", "digest")
     first = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
     shared = settle(first.where("n > 1 and refers_to is not null").select("digest", "refers_to"), "shared")
     return settle(slim.join(shared, "digest").where("page_id is null or page_id <> refers_to").distinct(), "revisits")
@@ -55,11 +61,12 @@ def with_payload(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
 
 
-def write_archives(pages: DataFrame, *, least: int = 100, file_rows: int = 4000) -> str:
+def write_archives(pages: DataFrame, *, least: int = 100, compression: str = "gzip") -> str:
     """Write a record for each row of pages(page_id, url, html); returns the archives' folder."""
     spark = pages.sparkSession
     rows = with_payload(pages)
-    known = verdicts(rows, least).withColumnsRenamed({"page_id": "known_id", "digest": "known_digest"})
+    slim = settle(rows.select("page_id", "digest", "bytes"), "digests")
+    known = verdicts(slim, least).withColumnsRenamed({"page_id": "known_id", "digest": "known_digest"})
     rows = rows.join(known, F.col("page_id").eqNullSafe(F.col("known_id")) & (F.col("digest") == F.col("known_digest")), "left")
     own = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     safe = F.regexp_replace(F.regexp_replace("url", " ", "%20"), r"[\x00-\x1f\x7f]", "%00")
@@ -80,7 +87,16 @@ def write_archives(pages: DataFrame, *, least: int = 100, file_rows: int = 4000)
     ]
     record = F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF), block)  # concat_ws leaves nulls out
     path = scratch_path(spark, "warc")
-    rows.select(record.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", file_rows).text(path)
+    least_of = dict(zip(CLASSES, (None, *CLASSES)))
+    within = {top: F.lit(True) if low is None else F.col("bytes") > low for top, low in least_of.items()}
+    within = {top: test if top is None else test & (F.col("bytes") <= top) for top, test in within.items()}
+    found = slim.agg(*(F.count_if(test).alias(str(k)) for k, test in enumerate(within.values()))).first()
+    for k, (top, test) in enumerate(within.items()):
+        if found[k] or k == 0:  # an empty table has an empty folder
+            records = ARCHIVE // top if top else 1
+            out = rows.where(test).select(record.alias("value")).write.mode("append").option("lineSep", CRLF + CRLF)
+            out.option("compression", compression).option("maxRecordsPerFile", records).text(path)
+    forget(slim)
     return path
 
 
@@ -94,20 +110,64 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (parts.path or "/").lower() + ("?" + parts.query.lower() if parts.query else "")
 
 
-def parse(data: bytes):
-    """(offset, headers, block) of each record."""
-    at = 0
-    while at < len(data):
-        head = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:head].decode().split(CRLF)
+class Stream:
+    """The unpacked bytes of an archive, of which only those between the reader and what it has asked for are held."""
+
+    def __init__(self, data, packed: bool, step: int = 1 << 20):
+        self.rest, self.packed, self.step = memoryview(data), packed, step
+        self.inflate = zlib.decompressobj(31)
+        self.held, self.at = bytearray(), 0
+
+    def more(self) -> bool:
+        """Unpack some more; False at the end."""
+        if not len(self.rest):
+            return False
+        if not self.packed:
+            self.held += self.rest[: self.step]
+            self.rest = self.rest[self.step :]
+            return True
+        self.held += self.inflate.decompress(self.rest[: self.step])
+        used = min(self.step, len(self.rest)) - len(self.inflate.unused_data)
+        self.rest = self.rest[used:]
+        if self.inflate.eof:  # of a member; another may follow
+            self.held += self.inflate.flush()
+            self.inflate = zlib.decompressobj(31)
+        return True
+
+    def find(self, mark: bytes) -> int:
+        seen = 0
+        while (k := self.held.find(mark, seen)) < 0:
+            seen = max(0, len(self.held) - len(mark))
+            if not self.more():
+                return -1
+        return k
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n and self.more():
+            pass
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        self.at += len(out)
+        return out
+
+
+def parse(data, packed: bool = False):
+    """(offset, headers, block) of each record of the bytes of an archive."""
+    stream = Stream(data, packed)
+    while stream.held or stream.more():
+        if not stream.held:
+            continue
+        at, end = stream.at, stream.find(b"\r\n\r\n")
+        if end < 0:
+            raise ValueError(f"the record at {at} has no end of its headers")
+        first, *lines = stream.take(end + 4)[:-4].decode().split(CRLF)
         if first != "WARC/1.1":
             raise ValueError(f"no record at {at}")
         headers = dict(x.split(": ", 1) for x in lines)
-        end = head + 4 + int(headers["Content-Length"])
-        if data[end : end + 4] != b"\r\n\r\n":
+        block = stream.take(int(headers["Content-Length"]))
+        if stream.take(4) != b"\r\n\r\n":
             raise ValueError(f"the record at {at} doesn't end where its length says")
-        yield at, headers, data[head + 4 : end]
-        at = end + 4
+        yield at, headers, block
 
 
 def _number(urn: str | None) -> int | None:
@@ -130,21 +190,16 @@ def _rank(row: tuple) -> tuple:
 
 def read_archives(spark, path: str) -> DataFrame:
     """The index of the archives: one sorted run for each, rows as in INDEX."""
-    small_batches(spark)
 
     def run(batches):
         for b in batches:
             for name, content in zip(b.column(0), b.column(1)):
-                archive, data = name.as_py().rsplit("/", 1)[-1], content.as_buffer()
-                parts, rest = [], memoryview(data)
-                while len(rest):  # gzip members
-                    z = zlib.decompressobj(31)
-                    parts.append(z.decompress(rest) + z.flush())
-                    rest = memoryview(z.unused_data)
-                rows = sorted((index_row(archive, *r) for r in parse(b"".join(parts))), key=_rank)
-                yield _batch(rows)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+                archive = name.as_py().rsplit("/", 1)[-1]
+                rows = sorted((index_row(archive, *r) for r in parse(content.as_buffer(), archive.endswith(".gz"))), key=_rank)
+                for k in range(0, len(rows), 10_000):
+                    yield _batch(rows[k : k + 10_000])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInArrow(run, INDEX)
 
 
@@ -203,7 +258,7 @@ def merge_runs(runs: DataFrame, *, range_rows: int = 100_000) -> DataFrame:
     """Rows as in INDEX with capture_order, which grows with (url_key, ts, page_id) over the whole table."""
     runs = settle(runs, "runs")
     n = max(1, -(-runs.count() // range_rows))
-    keys = ["url_key", "ts", "page_id"]
+    keys = ["url_key", "ts", "page_id", "archive", "offset"]
 
     def merge(batches):
         found: dict[str, list] = {}
@@ -219,7 +274,7 @@ def merge_runs(runs: DataFrame, *, range_rows: int = 100_000) -> DataFrame:
                 part, more = [], []
         yield _batch(part, more)
 
-    dealt = runs.repartitionByRange(n, *keys).sortWithinPartitions("archive", *keys, "offset")
+    dealt = runs.repartitionByRange(n, *keys).sortWithinPartitions("archive", *keys)
     return dealt.mapInArrow(merge, f"{INDEX}, capture_order long")
 
 
