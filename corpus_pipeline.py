@@ -2,9 +2,15 @@
 
 toxicity drops the documents that the classifier rejects by the threshold of their language;
 near_duplicates keeps one document of each group of texts whose 5-word shingles have a Jaccard
-similarity of 0.8 or more; personal_data replaces personal data in the
-texts; mixing draws every document at least once and small sources up to MAX_PASSES times; packing
-cuts the texts' tokens into sequences. Each stage reads what the one before it kept.
+similarity of 0.8 or more, found by SimHash at a wide radius and verified; personal_data replaces
+personal data in the texts; mixing draws every document at least once and small sources up to
+MAX_PASSES times, in permuted blocks; packing cuts the texts' tokens into sequences and returns the
+pieces with their ids. Each stage reads what the one before it kept.
+
+Defined results: rows with nulls in any column, empty texts and repeated rows go through every stage
+as its operator says (an empty text is a document; empty texts are one group, of which one stays);
+columns that the operators don't use are kept up to packing, whatever their names; an empty table of
+documents gives no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from tierflow.llm.base import settle
 from tierflow.llm.mixing import mixed_documents
 from tierflow.llm.packing import pack
 from tierflow.llm.pii import sanitise
-from tierflow.llm.similar import without_similar
+from tierflow.llm.simhash import without_near_duplicates
 from tierflow.llm.toxicity import without_toxic
 
 #: Passes over the smallest sources for each one over the largest.
@@ -27,7 +33,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_similar(docs)
+    return without_near_duplicates(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +45,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+    return pack(docs, with_ids=True)
 
 
 STAGES = [
