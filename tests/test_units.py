@@ -92,31 +92,35 @@ def _refs(spark):
     return {"accounts": spark.createDataFrame([("A",), ("A",), (None,)], "account_id string")}
 
 
-def test_split_with_reasons(spark, rows):
+def test_halves_with_reasons(spark, rows):
     df = _batch(spark)
-    with rules.split(df, RULES, _refs(spark)) as parts:
+    with rules.divided(df, RULES, _refs(spark)) as parts:
         assert parts.total_rows == 6 and parts.rejected_rows == 4
         assert [r["txn_id"] for r in parts.valid.orderBy("txn_id").collect()] == ["t1", "t2"]
         assert parts.valid.columns == df.columns
         reasons = {r["txn_id"]: r["_dq_errors"] for r in parts.rejected.collect()}
         assert reasons == {None: ["required"], "t4": ["positive"], "t5": ["currency"], "t6": ["account"]}
-        assert {s.rule: s.failed_rows for s in parts.stats} == {"required": 1, "positive": 1, "currency": 1, "account": 1, "small": 1}
+        assert {r["rule"]: r["failed_rows"] for r in parts.report} == {"required": 1, "positive": 1, "currency": 1, "account": 1, "small": 1}
+    judged = rules.judge(df, RULES, _refs(spark))
+    assert [tuple(r) for r in rules.report(judged, RULES).collect()] == [tuple(r.values()) for r in parts.report]
+    assert judged.where(F.size(rules.names(RULES, "warn")) > 0).count() == 1
 
 
 def test_too_many_errors_stop_the_batch(spark):
-    with pytest.raises(rules.TooManyErrors) as e:
-        rules.split(_batch(spark), RULES, _refs(spark), max_error_rate=0.1)
-    assert len(e.value.stats) == len(RULES)
-    assert rules.split(_batch(spark), RULES, _refs(spark), max_error_rate=4 / 6, cache=False).rejected_rows == 4  # only above
+    with pytest.raises(rules.TooManyErrors) as e, rules.divided(_batch(spark), RULES, _refs(spark), max_error_rate=0.1):
+        pass
+    assert len(e.value.report) == len(RULES)
+    with rules.divided(_batch(spark), RULES, _refs(spark), max_error_rate=4 / 6, cache=False) as parts:  # only above
+        assert parts.rejected_rows == 4
 
 
 def test_unique_fails_all_and_empty_passes(spark):
     own = [_rule(name="u", type="unique", columns=("id",)), _rule(name="e", type="regex", column="email", pattern=r"^[^@\s]+@[^@\s]+$", severity="warn")]
-    df = spark.createDataFrame([("1", "a@b"), ("1", "bad"), ("2", None)], "id string, email string")
-    with rules.split(df, own) as parts:
-        assert parts.rejected_rows == 2 and [s.failed_rows for s in parts.stats] == [2, 1]
-    with rules.split(df.limit(0), own, max_error_rate=0.0) as parts:
-        assert parts.error_rate == 0.0 and parts.stats[0].pass_rate == 1.0
+    df = spark.createDataFrame([("1", "a@b"), ("1", "bad"), ("2", None), (None, "c@d"), (None, "e@f")], "id string, email string")
+    with rules.divided(df, own) as parts:
+        assert parts.rejected_rows == 4 and [r["failed_rows"] for r in parts.report] == [4, 1]
+    with rules.divided(df.limit(0), own, max_error_rate=0.0) as parts:
+        assert parts.total_rows == 0 and parts.report[0]["pass_rate"] == 1.0
 
 
 def test_rules_are_checked_when_declared(spark):
@@ -136,7 +140,7 @@ def test_rules_are_checked_when_declared(spark):
 def test_expression_uses_the_batch_time(spark):
     own = _rule(name="past", type="expression", expr="ts <= as_of()")
     df = spark.createDataFrame([(datetime(2026, 1, 1),), (datetime(2030, 1, 1),), (None,)], "ts timestamp")
-    assert df.where(rules.fails(own, datetime(2027, 1, 1))).count() == 1
+    assert df.count() - rules.halves(rules.judge(df, [own], as_of=datetime(2027, 1, 1)), [own])[0].count() == 1
 
 
 def test_balance(spark):

@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierflow import flow
 from tierflow.functions.columns import convert, protect, row_digest, standardise
 from tierflow.operators import balance, features, history, marts
 from tierflow.operators import rules as quality
 from tierflow.operators.dedupe import latest_per_key, without_replays
-from tierflow.operators.joins import salted_join, strategy_join
+from tierflow.operators.joins import salted_join, strategy_join, strategy_session
 from tierflow.sources import landing, store, synth
 from tierflow.spec import RuleSpec
 
@@ -121,6 +122,17 @@ def category_daily_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _category(spark, sf_dir, False)
 
 
+_ERROR = _CATEGORY.split("SELECT coalesce")[0]
+
+
+@query("category_daily_error", f"{_ERROR} SELECT coalesce(merchant_category, 'UNKNOWN') AS merchant_category, strftime(txn_ts, '%Y-%m-%d') AS txn_date, count(DISTINCT account_id) AS accounts, true AS within FROM txns LEFT JOIN dim USING (merchant_id) GROUP BY 1, 2")
+def category_daily_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The approximate count of every group against the exact one: within five of its standard errors (5 %)."""
+    exact, near = (_category(spark, sf_dir, e).select("merchant_category", "txn_date", F.col("approx_unique_accounts").alias(n)) for e, n in ((True, "accounts"), (False, "near")))
+    within = F.abs(F.col("near") - F.col("accounts")) <= F.greatest(F.lit(1.0), 0.25 * F.col("accounts"))
+    return exact.join(near, ["merchant_category", "txn_date"]).withColumn("within", within).drop("near")
+
+
 @query("late_touched_dates", f"WITH txns AS ({_EVENTS}) SELECT DISTINCT CAST(txn_ts AS DATE) AS event_date FROM txns WHERE ingest_date = '2024-01-15'")
 def late_touched_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.touched_dates(_events(spark, sf_dir), "2024-01-15")
@@ -179,6 +191,22 @@ def activity_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.behaviour(_events(spark, sf_dir)).select("txn_id", (F.col("avg_amount_prev_30d_gbp") * 100).cast("long").alias("avg_cents"))
 
 
+# The mean is a decimal of six digits; the ratio is rounded to three, half away from zero.
+_MEAN6 = "sign(t) * ((2 * abs(t) * 10000 + n) // (2 * n))"
+_THOUSANDTHS = "CAST(c AS HUGEINT) * 10000000"
+
+
+@query(
+    "activity_ratio",
+    f"""WITH txns AS (SELECT *, epoch_us(txn_ts) // 1000000 AS s, CAST(amount_gbp * 100 AS BIGINT) AS c FROM ({_EVENTS})),
+    w AS (SELECT txn_id, c, CAST(sum(c) {_FRAME} AS HUGEINT) AS t, CAST(count(*) {_FRAME} AS HUGEINT) AS n FROM txns),
+    m AS (SELECT txn_id, c, CASE WHEN n > 0 AND t <> 0 THEN {_MEAN6} END AS mean FROM w)
+    SELECT txn_id, CAST(CASE WHEN mean <> 0 THEN sign(c) * sign(mean) * ((2 * abs({_THOUSANDTHS}) + abs(mean)) // (2 * abs(mean))) END AS BIGINT) AS ratio_thousandths FROM m""",
+)
+def activity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.behaviour(_events(spark, sf_dir)).select("txn_id", (F.col("amount_to_avg_ratio") * 1000).cast("long").alias("ratio_thousandths"))
+
+
 # duplicates and replays
 
 _RANKED = "WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS rn FROM lineitem)"
@@ -250,7 +278,7 @@ def _refs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def _rule(rule: RuleSpec) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         judged = quality.judge(_cust(spark, sf_dir), [rule], _refs(spark, sf_dir))
-        return judged.where(F.size("_dq_errors") > 0).select("c_custkey", "c_nationkey")
+        return judged.where(quality.rejects([rule])).select("c_custkey", "c_nationkey")
 
     return run
 
@@ -275,7 +303,7 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dq_valid", f"{_JUDGED} SELECT c_custkey, bal FROM j WHERE NOT (required OR in_range OR nation_known)")
 def dq_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _judged(spark, sf_dir).where(F.size("_dq_errors") == 0).select("c_custkey", "bal")
+    return quality.halves(_judged(spark, sf_dir), _RULES)[0].select("c_custkey", "bal")
 
 
 @query(
@@ -284,7 +312,7 @@ def dq_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN nation_known THEN 'nation_known' END], lambda x: x IS NOT NULL), ',') AS reasons FROM j WHERE required OR in_range OR nation_known""",
 )
 def dq_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _judged(spark, sf_dir).where(F.size("_dq_errors") > 0).select("c_custkey", F.array_join("_dq_errors", ",").alias("reasons"))
+    return quality.halves(_judged(spark, sf_dir), _RULES)[1].select("c_custkey", F.array_join("_dq_errors", ",").alias("reasons"))
 
 
 @query(
@@ -292,14 +320,12 @@ def dq_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{_JUDGED} " + " UNION ALL ".join(f"SELECT '{r.name}' AS rule, '{r.type}' AS rule_type, '{r.severity}' AS severity, count(*) FILTER ({r.name}) AS failed_rows, count(*) AS total_rows FROM j" for r in _RULES),
 )
 def dq_rule_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = quality.rule_counts(_judged(spark, sf_dir), _RULES)
-    each = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.type).alias("rule_type"), F.lit(r.severity).alias("severity"), F.col(f"f{k}").alias("failed_rows")) for k, r in enumerate(_RULES)))
-    return one.select(F.explode(each).alias("r"), F.col("total").alias("total_rows")).select("r.*", "total_rows")
+    return quality.report(_judged(spark, sf_dir), _RULES).drop("pass_rate")
 
 
 @query("breaker_rate", f"{_JUDGED} SELECT count(*) AS total, count(*) FILTER (required OR in_range OR nation_known) AS rejected, count(*) FILTER (required OR in_range OR nation_known) * 100 > 5 * count(*) AS tripped FROM j")
 def breaker_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = quality.rule_counts(_judged(spark, sf_dir), _RULES)
+    one = quality.tally(_judged(spark, sf_dir), _RULES)
     return one.select("total", "rejected", (F.col("rejected") * 100 > F.col("total") * 5).alias("tripped"))
 
 
@@ -424,8 +450,9 @@ _STATUS = "SELECT o_orderstatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECI
 
 def _strategy(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        left = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").cast("decimal(18,2)").alias("q"))
-        right = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus")
+        own = strategy_session(spark, name)
+        left = _t(own, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").cast("decimal(18,2)").alias("q"))
+        right = _t(own, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus")
         return strategy_join(left, right, "k", name).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("q"))
 
     return run
@@ -462,6 +489,31 @@ for _name in ("json", "csv"):
     query(f"corrupt_split_{_name}", _SPLIT)(_lines(_name))
 
 
+_SIZES = {"customers": 500, "accounts": 800, "merchants": 50}
+
+
 @query("synth_transactions")
 def synth_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synth.transactions(spark, _t(spark, sf_dir, "orders").count(), 800, 50, "2026-09-01", 0)
+    sizes = _SIZES | {"transactions": _t(spark, sf_dir, "orders").count()}
+    return synth.transactions(spark, sizes, "2026-09-02", 1, "2026-09-01")
+
+
+# Shares of generated rows, in ten-thousandths, with the bounds that they lie in.
+_SHARES = {"hot": (2300, 3000), "late": (120, 280), "gbp": (8500, 9100), "completed": (9200, 9600), "cheap": (4500, 5500)}
+
+
+@query("synth_shares", " UNION ALL ".join(f"SELECT '{n}' AS share, true AS within" for n in _SHARES))
+def synth_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of codes, defects and amounts of generated transactions against what was declared, over 50,000 rows and more."""
+    sizes = _SIZES | {"transactions": 50_000 + _t(spark, sf_dir, "orders").count()}
+    tests = {
+        "hot": F.col("merchant_id") == "M000000000", "late": F.col("txn_ts") < F.lit("2026-09-02").cast("timestamp"), "gbp": F.upper(F.trim("currency")) == "GBP",
+        "completed": F.col("status") == "COMPLETED", "cheap": F.col("amount") < synth.MEDIAN,
+    }
+    one = synth.transactions(spark, sizes, "2026-09-02", 0).agg(*(F.avg(t.cast("int")).alias(n) for n, t in tests.items()))
+    each = F.array(*(F.struct(F.lit(n).alias("share"), (F.col(n) * 10_000).between(*_SHARES[n]).alias("within")) for n in tests))
+    return one.select(F.explode(each).alias("r")).select("r.*")
+
+
+for _name, (_run, _sql_text) in flow.QUERIES.items():
+    query(_name, _sql_text)(_run)

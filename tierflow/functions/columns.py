@@ -28,6 +28,12 @@ def row_digest(columns: Sequence[str]) -> Column:
     return F.sha2(F.concat_ws("||", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns)), 256)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all of a row's columns; maps, which can't be hashed, as their JSON."""
+    made = (F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields)
+    return F.xxhash64(*made)
+
+
 def to_base(amount: Column, rate: Column) -> Column:
     return F.round(amount * rate.cast("decimal(18,6)"), 2).cast("decimal(18,2)")
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tierflow.functions.columns import row_hash
+
 
 def _no_null(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
@@ -19,7 +21,7 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column
     A digest of the whole row breaks ties, so both halves agree whenever they are computed. Rows with
     a null key branch off before the window, so the bare rank test prunes inside each task.
     """
-    tie = F.xxhash64(*df.columns)
+    tie = row_hash(df)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by, tie))
     ranked = df.where(_no_null(keys)).withColumn("_rank", rank)
     kept = ranked.where("_rank = 1").drop("_rank").unionByName(df.where(~_no_null(keys)))

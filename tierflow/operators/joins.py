@@ -2,28 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The strategies of strategy_join() and what each sets.
-STRATEGIES = ("merge", "merge_adaptive", "salted", "broadcast")
+from tierflow.functions.columns import row_hash
+
+#: The strategies of strategy_join() and the settings that each has to run under.
+STRATEGIES = {
+    "merge": {"spark.sql.adaptive.enabled": "false"},
+    "merge_adaptive": {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"},
+    "salted": {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "false"},
+    "broadcast": {"spark.sql.adaptive.enabled": "true"},
+}
+_NO_AUTO = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+
+
+def strategy_session(spark: SparkSession, strategy: str) -> SparkSession:
+    """A session beside the caller's, of the same application, with the strategy's settings: frames read in it run under them."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy}; one of {', '.join(STRATEGIES)}")
+    own = spark.newSession()
+    for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(k, spark.conf.get(k))
+    for k, v in (STRATEGIES[strategy] | _NO_AUTO).items():
+        own.conf.set(k, v)
+    return own
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, buckets: int = 16, how: str = "inner") -> DataFrame:
     """An equi-join with the left key dealt over buckets and the right side repeated in each.
 
-    The salt is a hash of the row, not a random number: a task that is run again deals alike. Only
-    for joins that don't return right rows of their own: those would come once a bucket.
+    The salt is a hash of the row and its place in its partition, not a random number: a task that is
+    run again on the same rows deals alike. Only for joins that don't return right rows of their own:
+    those would come once a bucket.
     """
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"a salted join can't be {how}: unmatched right rows would repeat")
-    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(buckets)).cast("int"))
+    # equal rows are numbered by their partition's order too, so copies of one row are dealt as well
+    lot = F.xxhash64(row_hash(left), F.monotonically_increasing_id())
+    dealt = left.withColumn("_salt", F.pmod(lot, F.lit(buckets)).cast("int"))
     spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     return dealt.join(spread, [key, "_salt"], how).drop("_salt")
 
 
 def strategy_join(left: DataFrame, right: DataFrame, key: str, strategy: str, *, buckets: int = 16) -> DataFrame:
-    """An inner join by a named strategy, for comparing them."""
+    """An inner join by a named strategy, for comparing them: of frames of its strategy_session()."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}; one of {', '.join(STRATEGIES)}")
     if strategy == "salted":

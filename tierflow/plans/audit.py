@@ -64,9 +64,9 @@ class Trail:
         df = self.spark.createDataFrame(rows, schema).coalesce(1)
         df.drop("dataset").write.mode("append").parquet(f"{self.spec.path('audit', table)}/dataset={dataset}")
 
-    def rules(self, dataset: str, stats) -> None:
+    def rules(self, dataset: str, report: list[dict]) -> None:
         now = datetime.now(timezone.utc).replace(tzinfo=None)
-        rows = [(self.batch_id, self.run_date, dataset, s.rule, s.rule_type, s.severity, s.failed_rows, s.total_rows, float(s.pass_rate), now) for s in stats]
+        rows = [(self.batch_id, self.run_date, dataset, *r.values(), now) for r in report]
         if rows:
             self.put("dq_results", rows, RESULTS, dataset)
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 import argparse
 import json
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierflow.operators.joins import STRATEGIES, strategy_join
+from tierflow.operators.joins import STRATEGIES, strategy_join, strategy_session
 from tierflow.session import open_session
+from tierflow.sources import scratch, store
 
 
 def skewed(spark: SparkSession, facts: int, dims: int, hot: float) -> tuple[DataFrame, DataFrame]:
@@ -23,23 +25,20 @@ def skewed(spark: SparkSession, facts: int, dims: int, hot: float) -> tuple[Data
 
 
 def compare(spark: SparkSession, *, facts: int = 20_000_000, dims: int = 2_000_000, hot: float = 0.3, salts: int = 32) -> dict[str, float]:
-    """Adaptive execution is on for merge_adaptive and broadcast, its skew joins off for salted, all of it off for merge."""
-    keys = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
-    before = {k: spark.conf.get(k, None) for k in keys}
-    left, right = (df.persist() for df in skewed(spark, facts, dims, hot))
-    took = {}
+    """Each strategy runs in a session of its own settings; both inputs are written once and read by all."""
+    folder = f"{scratch.root(spark)}/tierflow/joins-{uuid.uuid4().hex}"
+    names, took = ("facts", "dims"), {}
     try:
-        left.count(), right.count()
+        for name, df in zip(names, skewed(spark, facts, dims, hot)):
+            df.write.parquet(f"{folder}/{name}")
         for name in STRATEGIES:
-            for k, v in zip(keys, (str(name != "merge").lower(), str(name != "salted").lower(), "-1", "-1")):
-                spark.conf.set(k, v)
+            own = strategy_session(spark, name)
+            left, right = (own.read.parquet(f"{folder}/{n}") for n in names)
             began = time.time()
             strategy_join(left, right, "k", name, buckets=salts).groupBy("category").agg(F.sum("amount")).write.format("noop").mode("overwrite").save()
             took[name] = round(time.time() - began, 2)
     finally:
-        left.unpersist(), right.unpersist()
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+        store.remove(spark, folder)
     return took
 
 

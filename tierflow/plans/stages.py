@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import date, datetime, timedelta
 from graphlib import TopologicalSorter
 from pathlib import Path
@@ -83,15 +85,16 @@ class Batch:
 
     # silver
 
-    def judged(self, name: str, df: DataFrame, refs: dict[str, DataFrame] | None = None) -> rules.Split:
+    @contextmanager
+    def judged(self, name: str, df: DataFrame, refs: dict[str, DataFrame] | None = None) -> Iterator[rules.Parts]:
         quality = self.spec.rules_of(name)
         try:
-            out = rules.split(df, quality.rules, refs, max_error_rate=quality.max_error_rate, as_of=self.as_of)
+            with rules.divided(df, quality.rules, refs, max_error_rate=quality.max_error_rate, as_of=self.as_of) as parts:
+                self.trail.rules(name, parts.report)
+                yield parts
         except rules.TooManyErrors as e:
-            self.trail.rules(name, e.stats)  # what stopped the batch is on record
+            self.trail.rules(name, e.report)  # what stopped the batch is on record
             raise
-        self.trail.rules(name, out.stats)
-        return out
 
     def silver_reference(self) -> None:
         for name in ("accounts", "merchants"):

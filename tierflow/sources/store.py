@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
@@ -57,27 +58,40 @@ def put_partition(df: DataFrame, path: str, partition: Mapping[str, str]) -> Non
     Dynamic overwriting leaves a partition alone that the new rows don't reach; a rerun that has none
     must still take the old ones away. df is written first and moved over, so it may read the old rows.
     """
-    spark = df.sparkSession
     place = "/".join(f"{k}={v}" for k, v in partition.items())
-    staged = f"{path}__staging/{place}"
-    df.drop(*partition).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(staged)
-    fs, target = _fs(spark, f"{path}/{place}")
-    fs.delete(target, True)
-    fs.mkdirs(target.getParent())
-    if not fs.rename(_fs(spark, staged)[1], target):
-        raise OSError(f"{staged} can't be moved to {path}/{place}")
-    remove(spark, f"{path}__staging")
+    _put(df.drop(*partition), path, f"{path}/{place}")
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Replace a table by rows that may come from itself: staged beside it, then moved over."""
-    spark = df.sparkSession
-    staged = f"{path}__staging"
-    df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(staged)
-    fs, target = _fs(spark, path)
-    fs.delete(target, True)
-    if not fs.rename(_fs(spark, staged)[1], target):
-        raise OSError(f"{staged} can't be moved to {path}")
+    """Replace a table by rows that may come from itself."""
+    _put(df, path, path)
+
+
+def _put(df: DataFrame, table: str, target: str) -> None:
+    """Write df beside the table, put what is there aside, move df over, and only then remove the old rows.
+
+    The staging folder is the writer's own, so writers of different partitions don't meet; a writer that
+    stops between the moves leaves the old rows beside the table, where the next one puts them back first.
+    """
+    spark, own = df.sparkSession, uuid.uuid4().hex
+    staged, aside = f"{table}__staging-{own}", f"{table}__aside{target.removeprefix(table).replace('/', '-').replace('=', '-')}"
+    fs, to = _fs(spark, target)
+    old = _fs(spark, aside)[1]
+    if fs.exists(old) and not fs.exists(to):
+        fs.rename(old, to)
+    try:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(staged)
+        fs.delete(old, True)
+        fs.mkdirs(to.getParent())
+        fs.mkdirs(old.getParent())
+        if fs.exists(to) and not fs.rename(to, old):
+            raise OSError(f"{target} can't be put aside")
+        if not fs.rename(_fs(spark, staged)[1], to):
+            fs.rename(old, to)
+            raise OSError(f"{staged} can't be moved to {target}")
+    finally:
+        remove(spark, staged)
+    fs.delete(old, True)
 
 
 def partition(df: DataFrame, day: str) -> DataFrame:
