@@ -1,10 +1,12 @@
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tierflow.llm import graph, media, simhash, toxicity, warc
@@ -310,8 +312,6 @@ def test_long_texts_pool_over_windows():
 def test_a_long_text_and_a_repeated_id_leave_the_fit_whole(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     order = [r["doc_id"] for r in labels.where("toxic is not null").where(~toxicity.held_out()).selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h").collect()]
-    from pyspark.sql import functions as F
-
     longer = docs.withColumn("text", F.when(F.col("doc_id") == order[0], F.repeat(F.lit("word "), 300_000)).otherwise(F.col("text")))
     model = toxicity.train(longer, labels, max_chars=1_000_000)
     assert model.constant is None
@@ -333,8 +333,6 @@ def test_held_out_accuracy(spark):
 
 
 def test_held_out_labels_and_other_columns_are_no_inputs(spark, odd):
-    from pyspark.sql import functions as F
-
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     scores = lambda d, lab: {r["doc_id"]: r["score"] for r in toxicity.score(d, lab).collect()}
@@ -386,15 +384,88 @@ def test_gradients():
 
 # pipeline
 
-
-def test_pipeline_stages(spark, documents):
-    docs = documents
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, DATA)
-        assert out.columns == documents.columns, name
-        docs = spark.createDataFrame(out.collect(), documents.schema)
-        assert docs.count() > 0
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["toxicity", "near_duplicates", "personal_data", "mixing", "packing"]
-    pieces = corpus_pipeline.run(spark, DATA)
-    assert {r["doc_id"] for r in pieces.collect()} == {r["doc_id"] for r in docs.collect()}
+PII = (("[EMAIL]", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("[IP]", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("[CARD]", r"[0-9]([\x20-]?[0-9])+"), ("[PHONE]", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def brute_clean(text):
+    """The union of all valid spans by the label of the first."""
+    found = []
+    for rank, (label, pattern) in enumerate(PII):
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            luhn = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+            if (True, all(int(x) <= 255 for x in m[0].split(".")) if rank == 1 else True, 14 <= len(d) <= 19 and luhn, 10 <= len(d) <= 15)[rank]:
+                found.append((m.start(), rank, m.end(), label))
+    out, at = "", 0
+    for start, _, end, label in sorted(found):
+        if start >= at:
+            out += text[at:start] + label
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_each_stage_equals_brute_force_on_its_input(spark, documents, odd, tmp_path):
+    """Nulls, empty and long texts, repeats and ties go through all stages; each is held against a plain version."""
+    from tierflow.llm import mixing
+    from tierflow.llm.tokens import default_vocabulary, encoder
+
+    sf_dir = str(tmp_path)
+    both(documents, odd).withColumn("row", F.lit(1)).write.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    labels.write.parquet(f"{sf_dir}/labels.parquet")
+    docs, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), {}
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        kept[name] = docs
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{sf_dir}/{name}")
+        docs = spark.read.parquet(f"{sf_dir}/{name}")
+        assert name == "packing" or out.columns == columns
+    ids = lambda df: sorted(str(r["doc_id"]) for r in df.select("doc_id").collect())
+    stages = {n: spark.read.parquet(f"{sf_dir}/{n}") for n in kept}
+    scored = toxicity.score(kept["toxicity"], labels)
+    assert ids(stages["toxicity"]) == ids(scored.where("not rejected"))
+    texts, copies = {}, {}
+    for r in kept["near_duplicates"].collect():
+        texts.setdefault(len(texts), r["text"])
+        copies[len(texts) - 1] = r["doc_id"]
+    groups = {}
+    for k, root in brute_similar(texts).items():
+        groups.setdefault(root, []).append(copies[k])
+    want = [min((x for x in g if x is not None), default=None) for g in groups.values()]
+    assert ids(stages["near_duplicates"]) == sorted(map(str, want))
+    clean = sorted((str(r["doc_id"]), str(r["text"] if r["text"] is None else brute_clean(r["text"]))) for r in kept["personal_data"].collect())
+    assert clean == sorted((str(r["doc_id"]), str(r["text"])) for r in stages["personal_data"].collect())
+    assert ids(stages["mixing"]) == ids(mixing.mix(kept["mixing"], max_passes=corpus_pipeline.MAX_PASSES))
+    enc, whole = encoder(default_vocabulary()), {}
+    for r in stages["packing"].collect():
+        own = np.frombuffer(r["ids"], dtype="<u4")
+        assert len(own) == r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        whole.setdefault(r["doc_id"], []).append((r["start"], own))
+    times = {}
+    for r in kept["packing"].collect():
+        times.setdefault(r["doc_id"], []).append(r["text"] or "")
+    assert whole.keys() == times.keys()
+    for k, pieces in whole.items():
+        ids_ = np.append(enc.encode(times[k][0]), np.uint32(1))
+        assert sum(len(p) for _, p in pieces) == len(ids_) * len(times[k])
+        assert all(np.array_equal(p, ids_[at : at + len(p)]) for at, p in pieces)
+    # no sequence has two copies of a document that lie in it from their start
+    firsts = [(r["sequence_id"], r["doc_id"]) for r in stages["packing"].where("start = 0").collect()]
+    assert len(firsts) - len(set(firsts)) <= 0.01 * len(firsts)
+
+
+def test_the_pipeline_runs_and_takes_an_empty_table(spark, documents, tmp_path):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "personal_data", "mixing", "packing"]
+    assert corpus_pipeline.run(spark, DATA).count() > 0
+    documents.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_the_near_duplicate_stage_drops_near_copies(spark):
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    near, far = edited(rng, base, 3), edited(rng, base, 40)  # similarity over 0.8 and far under
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, near), (3, far), (None, near)], "doc_id long, text string")
+    assert sorted(str(r["doc_id"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == ["1", "3"]

@@ -6,12 +6,13 @@ and no operator changes a setting of the caller's session.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierflow.sources import scratch
+
 #: The most bytes that a table may have on its way to be broadcast, as its rows are counted and measured.
 BROADCAST_BYTES = 32 << 20
 
@@ -20,29 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder, as the session names it.
-
-    Where none is named, a session in one process (tests, a laptop) gets a folder of its own beside
-    its warehouse; on a cluster that's an error, as no folder of one machine is seen by all.
-    """
-    key = "spark.checkpoint.dir"
-    root = spark.sparkContext.getConf().get(key) or spark.conf.get(key, None)
-    if not root:
-        sc = spark.sparkContext
-        found = sc._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            root = found.get()
-        elif sc.master.split("[")[0] == "local":
-            root = f"file:///tmp/tierflow-{os.getuid()}-{sc.applicationId}"
-            sc.setCheckpointDir(root)
-        else:
-            raise RuntimeError(f"{key} must name a folder that the driver and all executors share")
-    return root.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_root(spark)}/tierflow/{what}-{uuid.uuid4().hex}"
+    return f"{scratch.root(spark)}/tierflow/{what}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, what: str) -> DataFrame:
