@@ -8,7 +8,7 @@ from tierflow.functions.columns import convert, protect, row_digest, standardise
 from tierflow.operators import balance, features, history, rules
 from tierflow.operators.dedupe import latest_per_key, without_replays
 from tierflow.operators.joins import salted_join
-from tierflow.plans.stages import GRAPH, STAGES, shift, trigger_date
+from tierflow.plans.stages import GRAPH, STAGES, shift, trigger_date, walk
 from tierflow.sources import store
 from tierflow.spec import RuleSpec, parse
 
@@ -197,6 +197,32 @@ def test_store(spark, rows, tmp_path):
     assert store.latest_snapshot(df.withColumn("ingest_date", F.lit("2026-01-02")), "2026-01-01").count() == 0
 
 
+def test_the_graph_is_walked_in_parallel_with_retries():
+    import threading
+
+    seen, lock, both = [], threading.Lock(), threading.Barrier(2, timeout=20)
+
+    def work(node):
+        if node in ("b", "c"):
+            both.wait()  # only if they run side by side
+        with lock:
+            seen.append(node)
+        if node == "d" and seen.count("d") < 3:
+            raise OSError("once more")
+
+    walk({"b": ("a",), "c": ("a",), "d": ("b", "c"), "a": ()}, work, retries=2)
+    assert seen[0] == "a" and set(seen[1:3]) == {"b", "c"} and seen[3:] == ["d", "d", "d"]
+    tries = []
+
+    def fails(node):
+        tries.append(node)
+        raise rules.TooManyErrors(1, 2, 0.1, [])
+
+    with pytest.raises(rules.TooManyErrors):
+        walk({"a": (), "b": ("a",)}, fails, retries=5)
+    assert tries == ["a"]
+
+
 def test_graph_and_trigger():
     assert STAGES[0] == "bronze" and STAGES[-1] == "gold" and set(STAGES) == set(GRAPH)
     assert shift("2026-03-01", -1) == "2026-02-28"

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import argparse
 import re
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from contextlib import contextmanager
 from datetime import date, datetime, timedelta
 from graphlib import TopologicalSorter
@@ -184,13 +186,44 @@ class Batch:
             m.rows_out = made.count()
 
 
-def run(spark: SparkSession, spec: PipelineSpec, run_date: str, stage: str = "all", batch_id: str | None = None) -> str:
-    """Run one stage or all, in the graph's order; returns the batch id."""
+def walk(graph: Mapping[str, tuple[str, ...]], work: Callable[[str], None], *, parallel: int = 2, retries: int = 0, wait_s: float = 0.0) -> None:
+    """Work on each node once all before it are done, up to `parallel` at a time; a node that fails is tried again.
+
+    After a node's last failure nothing new is begun, and what is under way is waited for.
+    """
+    order, doing = TopologicalSorter(graph), {}
+    order.prepare()
+
+    def tried(node: str) -> None:
+        for left in reversed(range(retries + 1)):
+            try:
+                return work(node)
+            except NO_RETRY:
+                raise
+            except Exception:
+                if not left:
+                    raise
+                time.sleep(wait_s)
+
+    with ThreadPoolExecutor(parallel) as pool:
+        while order.is_active():
+            doing |= {pool.submit(tried, n): n for n in order.get_ready()}
+            for done in wait(doing, return_when=FIRST_COMPLETED).done:
+                done.result()
+                order.done(doing.pop(done))
+
+
+#: What the same data would give again.
+NO_RETRY = (rules.TooManyErrors, balance.OutOfBalance)
+
+
+def run(spark: SparkSession, spec: PipelineSpec, run_date: str, stage: str = "all", batch_id: str | None = None, *, parallel: int = 2, retries: int = 0, wait_s: float = 0.0) -> str:
+    """Run one stage or all, as the graph allows; returns the batch id. A stage can be run again, so it can be retried."""
     if stage != "all" and stage not in GRAPH:
         raise ValueError(f"unknown stage {stage}; one of all, {', '.join(STAGES)}")
     batch = Batch(spark, spec, run_date, batch_id)
-    for name in STAGES if stage == "all" else (stage,):
-        getattr(batch, name)()
+    graph = GRAPH if stage == "all" else {stage: ()}
+    walk(graph, lambda name: getattr(batch, name)(), parallel=parallel, retries=retries, wait_s=wait_s)
     return batch.batch_id
 
 
@@ -207,13 +240,16 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--config", default=None)
     p.add_argument("--base-path", default=None)
     p.add_argument("--batch-id", default=None)
+    p.add_argument("--parallel", type=int, default=2)
+    p.add_argument("--retries", type=int, default=2)
+    p.add_argument("--wait-s", type=float, default=60.0)
     args = p.parse_args(argv)
     location = args.config or str(Path(__file__).with_name("banking.yaml"))
     spark = open_session("tierflow")
     try:
         spec = load(location, args.base_path, spark)
         spark.conf.set("spark.sql.shuffle.partitions", spec.shuffle_partitions)
-        run(spark, spec, args.run_date, args.stage, args.batch_id)
+        run(spark, spec, args.run_date, args.stage, args.batch_id, parallel=args.parallel, retries=args.retries, wait_s=args.wait_s)
     finally:
         spark.stop()
 
