@@ -1,13 +1,15 @@
 """Shared plumbing of the training-data operators: table reads, scratch tables, row keys.
 
 Arrow batches are left to the session: Spark bounds them by bytes (spark.sql.execution.arrow.maxBytesPerBatch),
-and no operator changes a setting of the caller's session.
+and no operator changes a setting of the caller's session. pieces() bounds what is made of a batch at once.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,14 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{scratch.root(spark)}/tierflow/{what}-{uuid.uuid4().hex}"
 
 
+def pieces(batches: Iterable[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in pieces of about `size` bytes, so that what Python makes of them at once is bounded."""
+    for b in batches:
+        step = max(1, b.num_rows * size // max(b.nbytes, 1))
+        for at in range(0, max(b.num_rows, 1), step):
+            yield b.slice(at, step)
+
+
 def settle(df: DataFrame, what: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import few, settle
+from .base import few, pieces, settle
 from .tokens import default_vocabulary, encoder
 
 #: Markers, as ids above the vocabulary's last and as text.
@@ -82,7 +82,7 @@ def format_chat(turns: DataFrame, vocabulary: str | None = None, *, loss_roles:
 
     def run(batches):
         enc = encoder(vocabulary)
-        for b in batches:
+        for b in pieces(batches):
             texts, tie = b.column(3).to_pylist(), b.column(4).to_pylist()
             both = [assemble(enc, r or "", t or "", loss_roles) for r, t in zip(b.column(2).to_pylist(), texts)]
             ids = pa.array([i.astype(kind).tobytes() for i, _ in both], pa.binary())
@@ -101,7 +101,7 @@ def examples(formatted: DataFrame, vocabulary: str | None = None) -> DataFrame:
     kind = id_type(vocabulary or default_vocabulary())
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             wide = [np.frombuffer(x, dtype=kind).astype("<u4").tobytes() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(wide, pa.binary()), b.column(2)], names=["doc_id", "ids", "loss"])
 
@@ -150,7 +150,7 @@ def read_back(formatted: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches):
         enc, now, done, kind = encoder(vocabulary), None, [], id_type(vocabulary)
-        for b in batches:
+        for b in pieces(batches):
             for conv, place, ids, loss in zip(*(b.column(k).to_pylist() for k in range(4))):
                 if place == 0:
                     if now:

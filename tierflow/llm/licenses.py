@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import pieces
+
 
 # Phrases that name a licence wherever their words stand together.
 BASE_PHRASES = {
@@ -195,7 +197,7 @@ def document_counts(docs: DataFrame, index: Index) -> tuple[int, np.ndarray]:
 
     def count(batches):
         n, df = 0, np.zeros(size, dtype=np.int64)
-        for b in batches:
+        for b in pieces(batches):
             for text in b.column(0):
                 n += 1
                 df[[vocab[w] for w in set(words_of(text.as_py())) if w in vocab]] += 1
@@ -223,7 +225,7 @@ def scan(docs: DataFrame, *, cover: float = 0.85, band: int = 8) -> DataFrame:
     kinds = [*[pa.int64()] * 5, pa.string(), pa.string(), pa.float64()]
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             rows = [one(t.as_py()) for t in b.column(1)]
             cols = [b.column(0), *(zip(*rows) if rows else [()] * 7)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) if not isinstance(c, pa.Array) else c for c, k in zip(cols, kinds)], names=names)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import drop_path, few, scratch_path, settle
+from .base import drop_path, few, pieces, scratch_path, settle
 
 UNIT, RATE = 192, 8000
 LEAST, AVERAGE_BITS, MOST = 256, 10, 8192
@@ -110,7 +110,7 @@ def shared_bitmap(docs: DataFrame) -> np.ndarray:
     """Bits of the slots of all digests that occur more than once."""
 
     def digests(batches):
-        for b in batches:
+        for b in pieces(batches):
             found = [d for t in b.column(0) for d, _ in chunks_of(to_wav(payload_of(t.as_py())[0]))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["digest"])
 
@@ -143,7 +143,7 @@ def write_store(docs: DataFrame, path: str) -> None:
 
     def run(batches):
         bits, sent, lot = bitmap.value, set(), 0
-        for b in batches:
+        for b in pieces(batches):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 payload, n = payload_of(text.as_py())
@@ -173,7 +173,7 @@ def rebuild(rows: DataFrame) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             out = []
             cols = b.columns
             for k in range(b.num_rows):

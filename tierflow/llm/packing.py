@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import settle
+from .base import pieces, settle
 from .tokens import default_vocabulary, encoder
 
 #: Rows of the result: one per piece; ids only where they are asked for.
@@ -152,7 +152,7 @@ def _packed(rows: DataFrame, read, limits: tuple[int, int, int], *, pool: int, l
 
     def first(batches):
         packer = Packer(limits, pool, TaskContext.get().partitionId() * PER_PARTITION, least_cut, full, with_ids)
-        for b in batches:
+        for b in pieces(batches):
             for doc, ids, mask in read(b):
                 packer.add((doc, len(ids)), ids, mask)
                 if len(packer.out) >= 2_000:
@@ -163,7 +163,7 @@ def _packed(rows: DataFrame, read, limits: tuple[int, int, int], *, pool: int, l
 
     def second(batches):
         packer = Packer(limits, pool, SECOND + TaskContext.get().partitionId() * PER_PARTITION, least_cut, 0.0, with_ids)
-        for b in batches:
+        for b in pieces(batches):
             cols = b.to_pydict()
             for doc, start, total, ids, mask in zip(*(cols[c] for c in ("doc_id", "start", "doc_tokens", "ids", "mask"))):
                 own = np.frombuffer(ids, dtype="<u4")

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import few, forget, settle
+from .base import few, forget, pieces, settle
 
 # The characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -108,7 +108,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "lang", "source", *(x.split()[0] for x in STATS.split(", "))]
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             rows = [count_text(t.as_py()) for t in b.column(3)]
             cols = [*b.columns[:3], *(pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 7))]
             yield pa.RecordBatch.from_arrays(cols, names=names)

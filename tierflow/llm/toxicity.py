@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .base import pieces
+
 
 BUCKETS, DIM, FILTERS, WIDTHS, STEM = 1 << 17, 16, 12, (1, 2, 3), 6
 POINT = 0.7
@@ -317,7 +319,7 @@ def score(docs: DataFrame, labels: DataFrame, *, threshold: float = POINT, **sam
 
     def run(batches):
         words = Words()
-        for b in batches:
+        for b in pieces(batches):
             texts = b.column(2)
             s = model.value.scores([words.rows(t.as_py()) for t in texts]) if len(texts) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), b.column(3)], names=["doc_id", "held_out", "score", "lang"])
@@ -339,7 +341,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, **sample) -> DataFrame:
     def run(batches):
         words, limits = Words(), model.value.thresholds
         common = limits.get(None, POINT)
-        for b in batches:
+        for b in pieces(batches):
             s = model.value.scores([words.rows(t.as_py()) for t in b.column(text)]) if b.num_rows else np.zeros(0)
             yield b.filter(pa.array(s < np.array([limits.get(x, common) for x in b.column(lang).to_pylist()], dtype=np.float64), pa.bool_()))
 
