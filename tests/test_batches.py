@@ -114,6 +114,21 @@ def test_an_old_day_run_again_keeps_what_came_later(lake):
     assert [lake.digest(*n) for n in names] == before
 
 
+def test_a_report_prints_and_lines_are_json(lake, capsys, monkeypatch):
+    import json
+
+    from tierflow.plans import audit, show_audit
+
+    monkeypatch.setattr(show_audit, "open_session", lambda *_: type("Kept", (), {"stop": lambda self: None, "__getattr__": lambda self, n: getattr(lake.spark, n)})())
+    show_audit.main(["--run-date", lake.days[0], "--base-path", lake.spec.base_path])
+    out = capsys.readouterr().out
+    assert all(t in out for t in ("pipeline_runs", "dq_results", "reconciliation", "txn_account_exists"))
+    record = audit.logging.LogRecord("x", 20, "f", 1, "done %d", (3,), None)
+    record.context = {"rows": 5}
+    line = json.loads(audit.JsonLines().format(record))
+    assert line["message"] == "done 3" and line["rows"] == 5 and line["level"] == "INFO"
+
+
 def test_the_trail_tells_what_happened(spark, tmp_path):
     day = "2026-06-01"
     lake = Lake(spark, tmp_path / "a", [day], n_accounts=4000)
