@@ -120,7 +120,7 @@ def test_revealing_terms_are_found_and_generalised(spark):
     places = lambda **how: sorted(map(str, pii.find(docs, **how).select("doc_id", "in_term.start").collect()))
     want = places()
     assert places(literal_bytes=0) == want
-    few, pii.few = pii.few, lambda df: df
+    few, pii.few = pii.few, lambda df, columns=(): df.select(*columns) if columns else df
     try:
         assert places(literal_bytes=0) == want
     finally:

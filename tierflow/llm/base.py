@@ -55,14 +55,14 @@ def path_bytes(spark: SparkSession, path: str) -> int:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
 
 
-def few(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A settled table, to be broadcast where its rows and bytes are found to be few; else as it is.
+def few(df: DataFrame, limit: int = BROADCAST_BYTES, columns: tuple[str, ...] = ()) -> DataFrame:
+    """A settled table, or some columns of it, to be broadcast where its rows and bytes are found to be few; else as it is.
 
     Its files are compressed, so the bound is on their bytes (an eighth) and on its rows (32 bytes each).
     """
-    if size_of(df) * 8 > limit or df.limit(limit // 32 + 1).count() > limit // 32:
-        return df
-    return F.broadcast(df)
+    small = size_of(df) * 8 <= limit and df.limit(limit // 32 + 1).count() <= limit // 32
+    out = df.select(*columns) if columns else df
+    return F.broadcast(out) if small else out
 
 
 def forget(*tables: DataFrame) -> None:

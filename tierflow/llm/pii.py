@@ -191,9 +191,13 @@ def revealing_terms(found: DataFrame, *, disclosure: float, support: int, entity
     told = settle(entities(found), "entities")
     has = [F.exists("values", partial(lambda i, v: _kind(v) == i, i)) for i in every]
     kinds = told.select("words", "values", *(h.alias(f"h{i}") for i, h in enumerate(has)))
+    # texts, not documents, count for an entity: repeats of a text are no evidence
+    beside = told.select("copy", F.explode("near").alias("e")).select("copy", "e.v", F.explode("e.words").alias("term")).distinct()
+    together = settle(beside.groupBy("term", "v").agg(F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") >= entity_support), "together")
     near = kinds.select(F.explode("words").alias("term"), *(f"h{i}" for i in every)).groupBy("term").agg(*(F.count_if(f"h{i}").alias(f"c{i}") for i in every))
-    least = min(support, entity_support)
-    near = settle(near.where(_any(F.col(f"c{i}") >= least for i in every)), "near")
+    known = together.select("term").distinct().withColumn("beside", F.lit(True))
+    near = near.join(known, "term", "left").where(_any(F.col(f"c{i}") >= support for i in every) | F.col("beside").isNotNull())
+    near = settle(near.drop("beside"), "near")
     all_words = found.select(F.explode(words_of(F.col("text"))).alias("term"))
     counts = settle(all_words.join(few(near), "term").groupBy("term", *(f"c{i}" for i in every)).agg(F.count(F.lit(1)).alias("n_term")), "counts")
     n = found.count()
@@ -213,13 +217,10 @@ def revealing_terms(found: DataFrame, *, disclosure: float, support: int, entity
     seen = pairs.select("term", "v").distinct().groupBy("term", _kind(F.col("v")).alias("kind")).agg(F.count(F.lit(1)).alias("n_values"))
     of_kind = seen.where(F.col("n_values") >= support).select("term")
 
-    # texts, not documents, count here: repeats of a text are no evidence; a word's own documents bound its texts from above
-    beside = told.select("copy", F.explode("near").alias("e")).select("copy", "e.v", F.explode("e.words").alias("term")).distinct()
-    together = beside.groupBy("term", "v").agg(F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") >= entity_support)
-    sure = together.join(counts.select("term", "n_term"), "term")
+    sure = together.join(few(counts, columns=("term", "n_term")), "term")
     of_entity = sure.where(F.log2(F.col("n_term") / F.col("n_texts")) <= bits_left).select("term")
     out = settle(of_kind.unionByName(of_entity).distinct(), "revealing")
-    forget(told, near, counts, able)
+    forget(told, together, near, counts, able)
     return out
 
 
@@ -235,7 +236,7 @@ def find(docs: DataFrame, *, disclosure: float = 0.9, support: int = 20, entity_
         return rows.withColumn("in_term", F.lit(None).cast(SPAN))
     if held["bytes"] <= literal_bytes:
         own = sorted(r["term"] for r in terms.collect())
-        rows = rows.withColumn("any", _alternatives(F.filter(words_of(F.col("text")), lambda w: w.isin(own))))
+        rows = rows.withColumn("any", _alternatives(F.array_distinct(F.filter(F.split(F.col("text"), NOT_LETTERS), lambda w: w.isin(own)))))
     else:
         rows = _joined_terms(rows, docs, terms)
     letters = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"

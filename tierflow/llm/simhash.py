@@ -19,7 +19,8 @@ documents that have a candidate are compared once more with their whole sets at
 counts only if the sets have the similarity. Nearest candidates come first, and those already joined
 are passed over, so a group of copies costs about its size in exact tests; no candidate is left out.
 At a similarity of 0.8 a bit differs with a probability of 0.15 (0.19 at worst, for sets of 4 and 5),
-so 256 bits differ in 38.7 (48.6) bits with a deviation of 5.7 (6.3): RADIUS is 4 deviations more.
+so 256 bits differ in 38.7 (48.6) bits with a deviation of 5.7 (6.3): RADIUS is 4 deviations more. A pair
+of exactly 0.8 is missed with a probability under 1e-6 (4e-5 at worst), by the binomial tails.
 Sets of fewer than 4 shingles are similar by 0.8 only if they are equal, which equal fingerprints show.
 
 Defined results: null text and text without words have fingerprint zero and are one group in group(),
@@ -44,7 +45,7 @@ from .graph import components
 
 SLICES = 4  # of a 64-bit word, for population counts
 GANG, TILE = 16, 1024
-WIDE, RADIUS, FIRST = 4, 76, 24  # words of 64 bits; bits that may differ in all of them, and in the first
+WIDE, RADIUS, FIRST = 4, 76, 26  # words of 64 bits; bits that may differ in all of them, and in the first
 LEAST = 4  # smaller sets are similar only if equal
 
 
@@ -401,20 +402,13 @@ def similar_links(own: DataFrame, docs: DataFrame, *, width: int, similarity: fl
     seen = compare(gangs(cells(slim), grid, tile=tile), WIDE, RADIUS, FIRST, None, "nodes")
     seen = settle(seen.select(F.col("a").alias("node")).distinct(), "seen")
     wanted = settle(nodes.join(few(seen), "node").select("node", "n", "fp", "k.k1", "k.k2"), "wanted")
-    texts = docs.join(few(_part(wanted, "node", "k1", "k2")), ["k1", "k2"]).select("node", "text")
+    texts = docs.join(few(wanted, columns=("node", "k1", "k2")), ["k1", "k2"]).select("node", "text")
     sets = sets_of(texts, width).groupBy("node").agg(F.first("shingles").alias("shingles"))
     # exact tests take longer than bit counts: smaller gangs, so a large group of copies is spread
     work = gangs(cells(wanted.join(sets, "node")), grid, tile=max(1, tile // 4), gang=2)
     return compare(work, WIDE, RADIUS, FIRST, lambda a, b: similar(a, b, similarity), "links")
 
 
-def _part(settled: DataFrame, *columns: str) -> DataFrame:
-    """Some columns of a settled table, which is then measured as the whole of it."""
-    out = settled.select(*columns)
-    out._settled_path = settled._settled_path
-    return out
-
-
 def similar_groups(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(k1, k2, doc_id, root) for each row of docs: rows of one root are a group; k1, k2 are the row's key."""
     k1, k2 = row_key(docs)
@@ -436,7 +430,7 @@ def without_near_duplicates(docs: DataFrame, *, width: int = 5, similarity: floa
     k1, k2 = row_key(docs)
     # the row travels as one column, so its other columns may have any names
     rows = docs.select(k1.alias("k1"), k2.alias("k2"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    single = rows.join(few(_part(gone, "k1", "k2")), ["k1", "k2"], "left_anti").select("row")
+    single = rows.join(few(gone, columns=("k1", "k2")), ["k1", "k2"], "left_anti").select("row")
     # rows that are there several times: one of each, found by partial aggregation where they lie
     more = settle(gone.where("stays").select("k1", "k2"), "again")
     again = rows.join(few(more), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row")
