@@ -61,8 +61,8 @@ def _maybe(kind: str) -> Column:
         return F.col("text").contains("@")
     if kind == "phone":
         return F.col("text").contains("+")
-    digits = F.length(F.translate("text", "0123456789", "")) < F.length("text") - (3 if kind == "ip" else 13)
-    return digits & F.col("text").contains(".") if kind == "ip" else digits
+    # the least digits of each; a start is tried once for each digit and fails within a few characters
+    return F.col("text").rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]" if kind == "ip" else r"[0-9](?:[\x20-]?[0-9]){13}")
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -119,7 +119,8 @@ def placed(text: Column, pattern: Column, rank: int, valid=lambda m: F.lit(True)
         span = F.zip_with(running(lengths, added), found, lambda end, m: F.struct((end - F.length(m)).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), m.alias("value")))
         return F.filter(span, lambda s: valid(s["value"]))
 
-    return _once(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: F.when(F.size(found) > 0, spans(found)).otherwise(F.array().cast(SPAN)))
+    # most texts have numbers, few have a valid one: offsets are made only for those
+    return _once(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: F.when(F.exists(found, valid), spans(found)).otherwise(F.array().cast(SPAN)))
 
 
 def blocks_of(text: Column) -> Column:
