@@ -78,6 +78,20 @@ def test_links_keep_all_components(spark, tile):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_scratch_is_the_applications_own_and_can_be_cleaned(spark):
+    import os
+
+    from tierflow.llm import base
+
+    made = base.settle(spark.range(5), "some")
+    folder = base.scratch_folder(spark).removeprefix("file://")
+    assert made.count() == 5 and made._settled_path.startswith(base.scratch_folder(spark)) and os.path.isdir(folder)
+    other = type("Cluster", (), {"master": "spark://x", "getConf": lambda self: {}, "_jsc": type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()})()
+    session = type("Session", (), {"sparkContext": other, "conf": type("C", (), {"get": lambda self, k, d: d})()})()
+    with pytest.raises(RuntimeError):  # no folder of one machine on a cluster
+        base.scratch.root(session)
+
+
 def test_components_of_a_long_path(spark):
     n = 300
     edges = spark.range(n).selectExpr("id as a", "id + 1 as b").unionByName(spark.createDataFrame([(1000, 1000), (2000, 2001)], "a long, b long"))

@@ -23,8 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The application's own part of the shared folder."""
+    return f"{scratch.root(spark)}/tierflow/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{scratch.root(spark)}/tierflow/{what}-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all scratch tables of the application: for a job's end, when its results are written.
+
+    Results are lazy and read scratch tables, so the operators can only delete those that no result needs.
+    """
+    drop_path(spark, scratch_folder(spark))
 
 
 def pieces(batches: Iterable[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -40,12 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import few, forget, pieces, row_key, settle
+from .base import few, forget, pieces, row_key, settle, size_of
 from .graph import components
 
 SLICES = 4  # of a 64-bit word, for population counts
 GANG, TILE = 16, 1024
 WIDE, RADIUS, FIRST = 4, 76, 26  # words of 64 bits; bits that may differ in all of them, and in the first
+TASK_BYTES = 64 << 20
 LEAST = 4  # smaller sets are similar only if equal
 
 
@@ -201,10 +202,14 @@ def gangs(nodes: DataFrame, grid: Grid, *, tile: int, gang: int = GANG) -> DataF
     first = F.when(F.col("near"), own_gang).otherwise(F.lit(0))
     last = F.floor((F.col("there") - 1) / gang).cast("int")
     sent = tiles.join(F.broadcast(reach), "cell").select(F.col("to").alias("cell"), F.explode(F.sequence(first, last)).alias("gang"), F.lit(True).alias("guest"), "near", "part", "tile")
-    # a task for so many tile pairs, of about a million comparisons each
-    pairs = reach.join(sizes, "cell").agg(F.sum(F.col("parts").cast("double") * F.col("there"))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(pairs / 4096), 100_000))
-    return hosts.unionByName(sent).repartition(n, "cell", "gang").sortWithinPartitions("cell", "gang", "guest")
+    # a task for so many tile pairs, of about a million comparisons each, and for so many bytes of tiles that are sent
+    there = F.ceil(F.col("there") / gang)
+    pairs, copies, own = reach.join(sizes, "cell").agg(F.sum(F.col("parts").cast("double") * F.col("there")), F.sum(F.col("parts") * there), F.sum(F.when(F.col("near"), F.col("parts")))).first()
+    sent_bytes = size_of(tiles) * (copies or 0) / max(own or 0, 1)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(max((pairs or 0) / 4096, sent_bytes / TASK_BYTES)), 100_000))
+    work = hosts.unionByName(sent).repartition(n, "cell", "gang").sortWithinPartitions("cell", "gang", "guest")
+    work._tables = [nodes, sizes, tiles, reach]
+    return work
 
 
 class Forest:
@@ -301,7 +306,9 @@ def compare(work: DataFrame, words: int, radius: int, first: int, accept: Callab
                     a, b = zip(*links)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return work.mapInArrow(run, "a long, b long")
+    out = work.mapInArrow(run, "a long, b long")
+    out._tables = work._tables  # to be forgotten when the links have been read
+    return out
 
 
 # groups by fingerprint
@@ -325,7 +332,9 @@ def group(docs: DataFrame, *, radius: int = 2, tile: int = TILE) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs: component_id is the smallest doc_id reachable."""
     own = settle(fingerprints(docs), "fingerprints")
     nodes = settle(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    roots = components(links(nodes, radius=radius, tile=tile))
+    found = links(nodes, radius=radius, tile=tile)
+    roots = components(found)
+    forget(*found._tables)
     known = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     known = settle(known, "roots")
     least = settle(known.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
@@ -400,7 +409,8 @@ def similar_links(own: DataFrame, docs: DataFrame, *, width: int, similarity: fl
     nodes = settle(nodes, "sets")
     slim = nodes.withColumn("shingles", F.lit(b""))
     seen = compare(gangs(cells(slim), grid, tile=tile), WIDE, RADIUS, FIRST, None, "nodes")
-    seen = settle(seen.select(F.col("a").alias("node")).distinct(), "seen")
+    first, seen = seen, settle(seen.select(F.col("a").alias("node")).distinct(), "seen")
+    forget(*first._tables)
     wanted = settle(nodes.join(few(seen), "node").select("node", "n", "fp", "k.k1", "k.k2"), "wanted")
     texts = docs.join(few(wanted, columns=("node", "k1", "k2")), ["k1", "k2"]).select("node", "text")
     sets = sets_of(texts, width).groupBy("node").agg(F.first("shingles").alias("shingles"))
@@ -414,7 +424,9 @@ def similar_groups(docs: DataFrame, *, width: int = 5, similarity: float = 0.8)
     k1, k2 = row_key(docs)
     slim = docs.select(k1.alias("k1"), k2.alias("k2"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = settle(sketches(slim, width), "sketches")
-    roots = components(similar_links(own, slim.select("k1", "k2", "text"), width=width, similarity=similarity))
+    found = similar_links(own, slim.select("k1", "k2", "text"), width=width, similarity=similarity)
+    roots = components(found)
+    forget(*found._tables)
     return own.join(roots, "node", "left").select("k1", "k2", "doc_id", F.coalesce("root", "node").alias("root"))
 
 
@@ -423,10 +435,12 @@ def without_near_duplicates(docs: DataFrame, *, width: int = 5, similarity: floa
     known = settle(similar_groups(docs, width=width, similarity=similarity), "similar")
     keys = known.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("root").alias("root"), F.count(F.lit(1)).alias("times"))
     keys = settle(keys, "keys")
+    forget(known)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("k1"), F.col("k2"))
     best = settle(keys.groupBy("root").agg(F.min(order).alias("best")), "best")
     mine = keys.join(best, "root").withColumn("stays", (F.col("best.k1") == F.col("k1")) & (F.col("best.k2") == F.col("k2")))
     gone = settle(mine.where("not stays or times > 1").select("k1", "k2", "stays"), "gone")
+    forget(keys, best)
     k1, k2 = row_key(docs)
     # the row travels as one column, so its other columns may have any names
     rows = docs.select(k1.alias("k1"), k2.alias("k2"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
