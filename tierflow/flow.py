@@ -7,6 +7,7 @@ again the day after, late, negative, of unknown accounts, in padded codes, and l
 from __future__ import annotations
 
 import dataclasses
+import logging
 import uuid
 from pathlib import Path
 
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierflow.plans import stages
+from tierflow.plans.audit import logger
 from tierflow.sources import landing, scratch, store
 from tierflow.spec import PipelineSpec, load
 
@@ -77,8 +79,14 @@ def lake(spark: SparkSession, sf_dir: str) -> tuple[SparkSession, PipelineSpec]:
         base = f"{scratch.root(spark)}/tierflow/flow-{uuid.uuid4().hex}"
         spec = dataclasses.replace(load(str(Path(stages.__file__).with_name("banking.yaml"))), base_path=base)
         deliver(own, spec, sf_dir)
-        for day in DAYS:
-            stages.run(own, spec, day)
+        log = logger("tierflow")
+        level = log.level
+        log.setLevel(logging.WARNING)  # a query's caller may use stdout itself
+        try:
+            for day in DAYS:
+                stages.run(own, spec, day)
+        finally:
+            log.setLevel(level)
         _RUNS[key] = spec
     return own, _RUNS[key]
 
