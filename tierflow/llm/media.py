@@ -37,7 +37,7 @@ UNIT, RATE = 192, 8000
 LEAST, AVERAGE_BITS, MOST = 256, 10, 8192
 SLOT_BITS, BLOCK_BITS = 25, 15
 #: Copies of an object that may share a key.
-SHARED_KEY = 500
+SHARED_KEY = 100
 
 
 def gear_table() -> np.ndarray:
