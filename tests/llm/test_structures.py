@@ -181,6 +181,38 @@ def test_similar_groups_equal_brute_force(spark, documents):
     assert simhash.without_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_sets_of_small_groups_travel_once_and_other_rows_stay(spark, monkeypatch):
+    """Found at 6 GB: tiles with their sets went to every gang of their cells, and all texts and rows crossed shuffles."""
+    rng, texts = random.Random(9), {}
+    for g in range(400):  # 60 groups of two, one of 40, the rest alone; all sets in a few cells
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        for _ in range(40 if g == 7 else 2 if g < 60 else 1):
+            texts[len(texts)] = edited(rng, base, 1)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = sorted(set(brute_similar(texts).values()))
+    sent, moved, gangs, marked = [], [], simhash.gangs, simhash.marked
+
+    def watched_gangs(nodes, *a, **b):
+        work = gangs(nodes, *a, **b)
+        sent.append(work.selectExpr("inline(tile)").where("length(shingles) > 0").select("node").distinct().count())
+        return work
+
+    def watched_marks(rows, bitmap, key, how="left_semi"):
+        out = marked(rows, bitmap, key, how)
+        moved.append((how, out.count()))
+        return out
+
+    monkeypatch.setattr(simhash, "gangs", watched_gangs)
+    monkeypatch.setattr(simhash, "marked", watched_marks)
+    for limit, members, tiles in ((32 << 20, 512, [0]), (0, 512, [0]), (0, 20, [0, 40])):
+        monkeypatch.setattr("tierflow.llm.base.BROADCAST_BYTES", limit)
+        monkeypatch.setattr(simhash, "MEMBERS", members)
+        sent.clear(), moved.clear()
+        assert sorted(r["doc_id"] for r in simhash.without_near_duplicates(docs).collect()) == want
+        assert sent == tiles
+        assert moved == ([] if limit else [("left_semi", 158), ("left_semi", 98), ("left_anti", len(texts) - 98)])
+
+
 def test_one_row_of_each_group_stays(spark, odd):
     out = simhash.without_near_duplicates(odd)
     kept = sorted(str(r["doc_id"]) for r in out.collect())

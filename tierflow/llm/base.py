@@ -68,14 +68,40 @@ def path_bytes(spark: SparkSession, path: str) -> int:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
 
 
-def few(df: DataFrame, limit: int = BROADCAST_BYTES, columns: tuple[str, ...] = ()) -> DataFrame:
-    """A settled table, or some columns of it, to be broadcast where its rows and bytes are found to be few; else as it is.
+def is_few(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether a settled table's rows and bytes are few enough to be broadcast.
 
     Its files are compressed, so the bound is on their bytes (an eighth) and on its rows (32 bytes each).
     """
-    small = size_of(df) * 8 <= limit and df.limit(limit // 32 + 1).count() <= limit // 32
+    limit = BROADCAST_BYTES if limit is None else limit
+    return size_of(df) * 8 <= limit and df.limit(limit // 32 + 1).count() <= limit // 32
+
+
+def few(df: DataFrame, limit: int | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+    """A settled table, or some columns of it, to be broadcast where its rows and bytes are found to be few; else as it is."""
     out = df.select(*columns) if columns else df
-    return F.broadcast(out) if small else out
+    return F.broadcast(out) if is_few(df, limit) else out
+
+
+def marks(keys: DataFrame, key: str) -> DataFrame:
+    """A bitmap of 2^25 bits of a column of 64-bit hashes, to be broadcast: 4 MB in 8,192 blocks, however many keys there are."""
+    at = keys.select(*_slot(key))
+    words = at.groupBy("block", "word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    by_word = words.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
+    return settle(by_word.select("block", F.expr("transform(sequence(0, 63), w -> coalesce(m[w], 0L))").alias("bits")), "marks")
+
+
+def marked(rows: DataFrame, bitmap: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """The rows whose key may be one of marks() ("left_semi"), or the others ("left_anti"), without a shuffle of rows."""
+    block, word, bit = _slot(key)
+    there = F.getbit(F.get("bits", word), bit) == 1
+    return rows.join(F.broadcast(bitmap.withColumnRenamed("block", "_block")), (F.col("_block") == block) & there, how)
+
+
+def _slot(key: str) -> tuple[Column, Column, Column]:
+    """Where a hash has its bit: 2^13 blocks of 64 words of 64 bits."""
+    part = lambda shift, bits: F.shiftrightunsigned(key, shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    return part(0, 13).alias("block"), part(13, 6).alias("word"), part(19, 6).alias("bit")
 
 
 def forget(*tables: DataFrame) -> None:

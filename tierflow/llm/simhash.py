@@ -14,10 +14,14 @@ fewer than it has fingerprints. Components of the whole are found by joins (see
 
 group() is the contract of `op4`: one word of 64 bits over shingles with their repeats, radius 2.
 similar_groups() takes candidates at a wide radius, for a Jaccard similarity of word shingles: the
-fingerprint has WIDE words over the set of shingles, cells go by set size and population count, and
-documents that have a candidate are compared once more with their whole sets at hand, where a link
-counts only if the sets have the similarity. Nearest candidates come first, and those already joined
-are passed over, so a group of copies costs about its size in exact tests; no candidate is left out.
+fingerprint has WIDE words over the set of shingles, and cells go by set size and population count.
+Two documents that are candidates are in one component of the candidates' graph, so only documents of
+one component are compared once more with their whole sets at hand, where a link counts only if the
+sets have the similarity. A component of at most MEMBERS documents and MEMBER_BYTES of sets is compared
+in one place, to which each set travels once; a larger one has cells, tiles and gangs of its own. Nearest
+candidates come first, and those already joined are passed over, so a group of copies costs about its
+size in exact tests; no candidate is left out. Texts are fetched, and rows dropped, past a bitmap of the
+keys in question where these are too many to be broadcast, so no other rows cross a shuffle.
 At a similarity of 0.8 a bit differs with a probability of 0.15 (0.19 at worst, for sets of 4 and 5),
 so 256 bits differ in 38.7 (48.6) bits with a deviation of 5.7 (6.3): RADIUS is 4 deviations more. A pair
 of exactly 0.8 is missed with a probability under 1e-6 (4e-5 at worst), by the binomial tails.
@@ -40,13 +44,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import few, forget, pieces, row_key, settle, size_of
+from .base import few, forget, is_few, marked, marks, pieces, row_key, settle, size_of
 from .graph import components
 
 SLICES = 4  # of a 64-bit word, for population counts
 GANG, TILE = 16, 1024
+GANGS, MOST = 32, 512  # gangs of a cell, above which they take more tiles each, and the most tiles of a gang without sets
 WIDE, RADIUS, FIRST = 4, 76, 26  # words of 64 bits; bits that may differ in all of them, and in the first
 TASK_BYTES = 64 << 20
+MEMBERS, MEMBER_BYTES = 512, 4 << 20  # of a component that is compared in one place
 LEAST = 4  # smaller sets are similar only if equal
 
 
@@ -144,7 +150,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 class Grid:
-    """Cells as tuples of small numbers, each one number in base BASE, and the steps between cells that must meet."""
+    """Cells as tuples of small numbers, each one number in base BASE, and the steps between cells that must meet.
+
+    What a cell's number has above these digits stays: cells that differ in it don't meet.
+    """
 
     BASE = 128
 
@@ -158,8 +167,7 @@ class Grid:
     def next(self, cell: int) -> list[int]:
         """The cells one allowed step on."""
         at = [cell // int(f) % self.BASE for f in self.factors]
-        to = [[a + d for a, d in zip(at, s)] for s in self.steps]
-        return [int(np.dot(t, self.factors)) for t in to if min(t) >= 0 and max(t) < self.BASE]
+        return [cell + int(np.dot(s, self.factors)) for s in self.steps if all(0 <= a + d < self.BASE for a, d in zip(at, s))]
 
 
 def steps(radius: int) -> list[tuple[int, ...]]:
@@ -181,30 +189,35 @@ def size_class(n: np.ndarray, similarity: float) -> np.ndarray:
 NODE = "cell long, node long, fp binary, shingles binary"
 
 
-def gangs(nodes: DataFrame, grid: Grid, *, tile: int, gang: int = GANG) -> DataFrame:
+def gangs(nodes: DataFrame, grid: Grid, *, tile: int, gang: int = GANG, most: int = MOST) -> DataFrame:
     """(cell, gang, guest, near, part, tile) of nodes(NODE), by (cell, gang), a gang's own tiles before its guests.
 
     A hot cell's tiles go to every gang after them: the work is quadratic in a cell, not a task's share of it.
+    A gang has `gang` tiles; in a cell of more than GANGS gangs it has more, up to `most`, so a tile is sent
+    to at most GANGS of them until then.
     """
     spark = nodes.sparkSession
     nodes = settle(nodes, "nodes")
-    # a row for each cell: of population counts at most 17^4, of sizes and counts at most 128 x 4, whatever the table
-    sizes = settle(nodes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("parts")), "sizes")
+    # a row for each cell: of population counts at most 17^4, of sizes and counts at most 128 x 4, whatever the table;
+    # of components, only of those that are too large for one place
+    sizes = nodes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("parts"))
+    of_gang = F.greatest(F.lit(gang), F.least(F.lit(most), F.ceil(F.col("parts") / GANGS).cast("int")))
+    sizes = settle(sizes.withColumn("per", of_gang), "sizes")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
-    dealt = nodes.join(F.broadcast(sizes), "cell").select("cell", part, F.struct("node", "fp", "shingles").alias("e"))
+    dealt = nodes.join(F.broadcast(sizes), "cell").select("cell", part, F.struct("node", "fp", "shingles").alias("e"), "per")
     # grouped by tile, so the nodes of a hot cell don't meet before they are in tiles
-    tiles = settle(dealt.groupBy("cell", "part").agg(F.collect_list("e").alias("tile")), "tiles")
+    tiles = settle(dealt.groupBy("cell", "part").agg(F.collect_list("e").alias("tile"), F.first("per").alias("per")), "tiles")
     to = F.udf(grid.next, "array<long>", useArrow=False)
-    reach = sizes.select("cell", F.explode(to("cell")).alias("to")).join(sizes.select(F.col("cell").alias("to"), F.col("parts").alias("there")), "to")
-    reach = settle(reach.select("cell", "to", "there", F.lit(False).alias("near")).unionByName(sizes.select("cell", F.col("cell").alias("to"), F.col("parts").alias("there"), F.lit(True).alias("near"))), "reach")
-    own_gang = F.floor(F.col("part") / gang).cast("int")
+    reach = sizes.select("cell", F.explode(to("cell")).alias("to")).join(sizes.select(F.col("cell").alias("to"), F.col("parts").alias("there"), "per"), "to")
+    reach = settle(reach.select("cell", "to", "there", "per", F.lit(False).alias("near")).unionByName(sizes.select("cell", F.col("cell").alias("to"), F.col("parts").alias("there"), "per", F.lit(True).alias("near"))), "reach")
+    own_gang = F.floor(F.col("part") / F.col("per")).cast("int")
     hosts = tiles.select("cell", own_gang.alias("gang"), F.lit(False).alias("guest"), F.lit(True).alias("near"), "part", "tile")
     first = F.when(F.col("near"), own_gang).otherwise(F.lit(0))
-    last = F.floor((F.col("there") - 1) / gang).cast("int")
-    sent = tiles.join(F.broadcast(reach), "cell").select(F.col("to").alias("cell"), F.explode(F.sequence(first, last)).alias("gang"), F.lit(True).alias("guest"), "near", "part", "tile")
+    last = F.floor((F.col("there") - 1) / F.col("per")).cast("int")
+    sent = tiles.drop("per").join(F.broadcast(reach), "cell").select(F.col("to").alias("cell"), F.explode(F.sequence(first, last)).alias("gang"), F.lit(True).alias("guest"), "near", "part", "tile")
     # a task for so many tile pairs, of about a million comparisons each, and for so many bytes of tiles that are sent
-    there = F.ceil(F.col("there") / gang)
-    pairs, copies, own = reach.join(sizes, "cell").agg(F.sum(F.col("parts").cast("double") * F.col("there")), F.sum(F.col("parts") * there), F.sum(F.when(F.col("near"), F.col("parts")))).first()
+    there = F.ceil(F.col("there") / F.col("per"))
+    pairs, copies, own = reach.join(sizes.drop("per"), "cell").agg(F.sum(F.col("parts").cast("double") * F.col("there")), F.sum(F.col("parts") * there), F.sum(F.when(F.col("near"), F.col("parts")))).first()
     sent_bytes = size_of(tiles) * (copies or 0) / max(own or 0, 1)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(max((pairs or 0) / 4096, sent_bytes / TASK_BYTES)), 100_000))
     work = hosts.unionByName(sent).repartition(n, "cell", "gang").sortWithinPartitions("cell", "gang", "guest")
@@ -213,10 +226,10 @@ def gangs(nodes: DataFrame, grid: Grid, *, tile: int, gang: int = GANG) -> DataF
 
 
 class Forest:
-    """Components of the nodes of one gang and one tile."""
+    """Components of so many nodes, the first of which may be joined already (up)."""
 
-    def __init__(self, n: int):
-        self.up = np.arange(n)
+    def __init__(self, n: int, up: np.ndarray | tuple = ()):
+        self.up = np.concatenate([np.asarray(up, dtype=np.int64), np.arange(len(up), n)])
 
     def labels(self) -> np.ndarray:
         while ((further := self.up[self.up]) != self.up).any():
@@ -251,46 +264,59 @@ def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, first: int):
             yield at + i, j, dist
 
 
-def compare(work: DataFrame, words: int, radius: int, first: int, accept: Callable | None, found: str) -> DataFrame:
-    """Links (a, b) of the gangs of work; found="nodes": instead the nodes (a, a) that have a candidate."""
+def unions(forest: Forest, i: np.ndarray, j: np.ndarray, dist: np.ndarray, accept: Callable | None):
+    """Those of the pairs (i, j), the nearest first, that are accepted and join two components of the forest."""
+    label = forest.labels()
+    open_ = label[i] != label[j]  # the others are joined already
+    i, j, dist = i[open_], j[open_], dist[open_]
+    order = np.argsort(dist, kind="stable")
+    for at in range(0, len(order), 2048):
+        x, y = i[order[at : at + 2048]], j[order[at : at + 2048]]
+        label = forest.labels()
+        open_ = label[x] != label[y]
+        for p, q in zip(x[open_].tolist(), y[open_].tolist()):
+            if accept is None or forest.up[p] != forest.up[q] and accept(p, q):
+                if forest.join(p, q):
+                    yield p, q
+
+
+def link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*links) if links else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def compare(work: DataFrame, words: int, radius: int, first: int, accept: Callable | None) -> DataFrame:
+    """Links (a, b) of the gangs of work."""
 
     def of(tile, part: int) -> tuple:
         nodes, fps, sets = (tile.field(k) for k in range(3))
         fps = np.frombuffer(b"".join(fps.to_pylist()), dtype=np.uint64).reshape(-1, words)
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in sets.to_pylist()] if accept else [None] * len(nodes)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in sets.to_pylist()] if accept else []
         return nodes.to_numpy(), fps, np.full(len(nodes), part), sets
 
-    def meet(host, guest, near: bool):
-        """Pairs that keep the components of all accepted links of a host gang and a guest tile."""
+    def meet(host, up: np.ndarray, guest, near: bool):
+        """Pairs that keep the components of all accepted links of a host gang and a guest tile; up: of the host's nodes so far."""
         hn, hf, hp, hs = host
         gn, gf, gp, gs = guest
         if near:  # of a cell's own pairs each one once
             use = np.flatnonzero(hp >= gp[0])
-            hn, hf, hp, hs = hn[use], hf[use], hp[use], [hs[k] for k in use] if accept else hs
+            hf = hf[use]
         counts_h, counts_g = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (hf, gf))
-        if not len(hn) or counts_h.min() - counts_g.max() > radius or counts_g.min() - counts_h.max() > radius:
+        if not len(hf) or counts_h.min() - counts_g.max() > radius or counts_g.min() - counts_h.max() > radius:
             return
-        forest, touched = Forest(len(hn) + len(gn)), set()
+        forest, n = Forest(len(hn) + len(gn), up), len(hn)
+        test = accept and (lambda p, q: accept(gs[p - n], hs[q]))
         for i, j, dist in near_pairs(gf, hf, radius, first):
             if near:
+                j = use[j]
                 ok = (hp[j] > gp[0]) | (hn[j] > gn[i])
                 i, j, dist = i[ok], j[ok], dist[ok]
-            if found == "nodes":
-                touched.update(gn[np.unique(i)].tolist(), hn[np.unique(j)].tolist())
-                continue
-            order = np.argsort(dist, kind="stable")
-            for at in range(0, len(order), 2048):
-                x, y = len(hn) + i[order[at : at + 2048]], j[order[at : at + 2048]]
-                label = forest.labels()
-                open_ = label[x] != label[y]  # the others are joined already
-                for p, q in zip(x[open_].tolist(), y[open_].tolist()):
-                    if accept is None or forest.up[p] != forest.up[q] and accept(gs[p - len(hn)], hs[q]):
-                        if forest.join(p, q):
-                            yield int(gn[p - len(hn)]), int(hn[q])
-        yield from ((n, n) for n in sorted(touched))
+            for p, q in unions(forest, n + i, j, dist, test):
+                yield int(gn[p - n]), int(hn[q])
+        up[:] = forest.labels()[:n]  # a root is the smallest number, so one of the host's
 
     def run(batches):
-        key, own, host = None, [], None
+        key, own, host, up = None, [], None, None
         for batch in batches:
             cells, gang, guest, near, part = (batch.column(k).to_pylist() for k in range(5))
             for k, tile in enumerate(batch.column(5)):
@@ -301,10 +327,10 @@ def compare(work: DataFrame, words: int, radius: int, first: int, accept: Callab
                     continue
                 if host is None:
                     host = tuple(np.concatenate(x) for x in list(zip(*own))[:3]) + ([s for o in own for s in o[3]],)
-                links = list(meet(host, of(tile.values, part[k]), near[k]))
+                    up = np.arange(len(host[0]))
+                links = list(meet(host, up, of(tile.values, part[k]), near[k]))
                 if links:
-                    a, b = zip(*links)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    yield link_batch(links)
 
     out = work.mapInArrow(run, "a long, b long")
     out._tables = work._tables  # to be forgotten when the links have been read
@@ -325,7 +351,7 @@ def links(nodes: DataFrame, *, radius: int = 2, tile: int = TILE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(grid.number(slice_counts(fps))), pa.array(fps), pa.array(raw, pa.binary()), pa.array([b""] * len(raw), pa.binary())], names=["cell", "node", "fp", "shingles"])
 
     work = gangs(nodes.select("fp").mapInArrow(split, NODE), grid, tile=tile)
-    return compare(work, 1, radius, radius, None, "links")
+    return compare(work, 1, radius, radius, None)
 
 
 def group(docs: DataFrame, *, radius: int = 2, tile: int = TILE) -> DataFrame:
@@ -380,15 +406,57 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "k1 long, k2 long, doc_id long, node long, n long, fp binary")
 
 
+SETS = "root long, node long, n long, fp binary, shingles binary"
+
+
 def sets_of(texts: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) of texts(node, text), as the bytes of the sorted hashes."""
+    """(SETS) of texts(root, node, n, fp, text), shingles as the bytes of the sorted hashes; a node about once, however often it is there."""
 
     def run(batches):
-        of = Shingler(width)
+        of, done = Shingler(width), set()
         for b in pieces(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["node", "shingles"])
+            fresh, nodes = [], b.column(1).to_pylist()
+            for k, node in enumerate(nodes):
+                if node not in done:
+                    if len(done) >= 100_000:
+                        done.clear()
+                    done.add(node)
+                    fresh.append(k)
+            b = b.take(pa.array(fresh, pa.int64()))
+            sets = pa.array([of(t.as_py()).tobytes() for t in b.column(4)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], sets], names=["root", "node", "n", "fp", "shingles"])
+
+    return texts.select("root", "node", "n", "fp", "text").mapInArrow(run, SETS)
+
+
+def links_within(sets: DataFrame, *, similarity: float) -> DataFrame:
+    """(a, b): verified links of the nodes of sets(SETS) that have one root; for roots whose sets fit one place."""
+    spark = sets.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size_of(sets) // TASK_BYTES, 100_000))
+
+    def close(nodes: list, fps: list, raw: list):
+        f, forest = np.frombuffer(b"".join(fps), dtype=np.uint64).reshape(-1, WIDE), Forest(len(nodes))
+        own = [np.frombuffer(x, dtype=np.uint64) for x in raw]
+        for i, j, dist in near_pairs(f, f, RADIUS, FIRST):
+            ok = i > j
+            for p, q in unions(forest, i[ok], j[ok], dist[ok], lambda p, q: similar(own[p], own[q], similarity)):
+                yield nodes[p], nodes[q]
 
-    return texts.mapInArrow(run, "node long, shingles binary")
+    def run(batches):
+        now, held = None, ([], [], [])
+        for b in pieces(batches):
+            links = []
+            for root, node, fp, raw in zip(*(b.column(k).to_pylist() for k in (0, 1, 3, 4))):
+                if root != now:
+                    links += close(*held)
+                    now, held = root, ([], [], [])
+                if not held[0] or node != held[0][-1]:  # a node may come from several tasks
+                    for x, v in zip(held, (node, fp, raw)):
+                        x.append(v)
+            yield link_batch(links)
+        yield link_batch(list(close(*held)))
+
+    return sets.repartition(n, "root").sortWithinPartitions("root", "node").mapInArrow(run, "a long, b long")
 
 
 def similar_links(own: DataFrame, docs: DataFrame, *, width: int, similarity: float, tile: int = TILE) -> DataFrame:
@@ -396,27 +464,47 @@ def similar_links(own: DataFrame, docs: DataFrame, *, width: int, similarity: fl
     grid = Grid(list(product((-1, 0, 1), repeat=2)))
 
     def cells(nodes: DataFrame) -> DataFrame:
+        """NODE of nodes(root, node, n, fp, shingles): nodes of different roots have different cells, but for a few that share 40 bits."""
+
         def run(batches):
             for b in pieces(batches):
-                raw = b.column(2).to_pylist()
+                raw = b.column(3).to_pylist()
                 fps = np.frombuffer(b"".join(raw), dtype=np.uint64).reshape(-1, WIDE)
-                places = np.stack([size_class(b.column(1).to_numpy(), similarity), np.bitwise_count(fps).sum(axis=1) // RADIUS], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(grid.number(places)), b.column(0), b.column(2), b.column(3)], names=["cell", "node", "fp", "shingles"])
+                places = np.stack([size_class(b.column(2).to_numpy(), similarity), np.bitwise_count(fps).sum(axis=1) // RADIUS], axis=1)
+                high = (b.column(0).to_numpy().view(np.uint64) >> np.uint64(24)).astype(np.int64) * Grid.BASE**2
+                yield pa.RecordBatch.from_arrays([pa.array(high + grid.number(places)), b.column(1), b.column(3), b.column(4)], names=["cell", "node", "fp", "shingles"])
 
-        return nodes.select("node", "n", "fp", "shingles").mapInArrow(run, NODE)
+        return nodes.select("root", "node", "n", "fp", "shingles").mapInArrow(run, NODE)
 
     nodes = own.where(F.col("n") >= LEAST).groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min(F.struct("k1", "k2")).alias("k"))
     nodes = settle(nodes, "sets")
-    slim = nodes.withColumn("shingles", F.lit(b""))
-    seen = compare(gangs(cells(slim), grid, tile=tile), WIDE, RADIUS, FIRST, None, "nodes")
-    first, seen = seen, settle(seen.select(F.col("a").alias("node")).distinct(), "seen")
-    forget(*first._tables)
-    wanted = settle(nodes.join(few(seen), "node").select("node", "n", "fp", "k.k1", "k.k2"), "wanted")
-    texts = docs.join(few(wanted, columns=("node", "k1", "k2")), ["k1", "k2"]).select("node", "text")
-    sets = sets_of(texts, width).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    slim = nodes.withColumns({"root": F.lit(0).cast("long"), "shingles": F.lit(b"")})
+    near = compare(gangs(cells(slim), grid, tile=tile), WIDE, RADIUS, FIRST, None)
+    roots = components(near)
+    forget(*near._tables)
+    wanted = settle(nodes.join(few(roots), "node").select("root", "node", "n", "fp", "k.k1", "k.k2"), "wanted")
+    forget(nodes, roots)
+    small = is_few(wanted)
+    asked = docs if small else marked(docs, marks(wanted, "k1"), "k1")  # only texts that may be wanted cross a shuffle
+    texts = asked.join(F.broadcast(wanted) if small else wanted, ["k1", "k2"])
+    sets = settle(sets_of(texts, width), "shingles")
+    of_root = wanted.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("n"))
+    large = settle(of_root.where((F.col("members") > MEMBERS) | (F.col("n") * 8 > MEMBER_BYTES)).select("root"), "large")
+    forget(wanted)
+    if large.isEmpty():
+        out = links_within(sets, similarity=similarity)
+        out._tables = [sets, large]
+        return out
+    known = few(large)
     # exact tests take longer than bit counts: smaller gangs, so a large group of copies is spread
-    work = gangs(cells(wanted.join(sets, "node")), grid, tile=max(1, tile // 4), gang=2)
-    return compare(work, WIDE, RADIUS, FIRST, lambda a, b: similar(a, b, similarity), "links")
+    more = sets.join(known, "root", "left_semi").dropDuplicates(["node"])
+    work = gangs(cells(more), grid, tile=max(1, tile // 4), gang=2, most=2)
+    spread = compare(work, WIDE, RADIUS, FIRST, lambda a, b: similar(a, b, similarity))
+    rest = settle(sets.join(known, "root", "left_anti"), "rest")
+    forget(sets)
+    out = links_within(rest, similarity=similarity).unionByName(spread)
+    out._tables = [rest, large, *spread._tables]
+    return out
 
 
 def similar_groups(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -444,9 +532,13 @@ def without_near_duplicates(docs: DataFrame, *, width: int = 5, similarity: floa
     k1, k2 = row_key(docs)
     # the row travels as one column, so its other columns may have any names
     rows = docs.select(k1.alias("k1"), k2.alias("k2"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    single = rows.join(few(gone, columns=("k1", "k2")), ["k1", "k2"], "left_anti").select("row")
+    asked, clear = rows, rows.limit(0)
+    if not is_few(gone):  # only rows that may be among these cross a shuffle
+        bitmap = marks(gone, "k1")
+        asked, clear = marked(rows, bitmap, "k1"), marked(rows, bitmap, "k1", "left_anti")
+    single = asked.join(few(gone, columns=("k1", "k2")), ["k1", "k2"], "left_anti").select("row")
     # rows that are there several times: one of each, found by partial aggregation where they lie
     more = settle(gone.where("stays").select("k1", "k2"), "again")
-    again = rows.join(few(more), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row")
-    return single.unionByName(again).select("row.*")
+    again = asked.join(few(more), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row")
+    return single.unionByName(again).unionByName(clear.select("row")).select("row.*")
 
