@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tierflow.functions.columns import convert, protect, row_digest, standardise
-from tierflow.operators import balance, features, history, rules
+from tierflow.operators import balance, features, history, joins, rules
 from tierflow.operators.dedupe import latest_per_key, without_replays
 from tierflow.operators.joins import salted_join
 from tierflow.plans.stages import GRAPH, STAGES, shift, trigger_date, walk
@@ -65,6 +65,26 @@ def test_salted_join_is_the_plain_join(spark, rows, how):
     assert rows(salted_join(left, right, "k", 4, how)) == rows(left.join(right, "k", how))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_large_right_side_is_merged_instead_of_broadcast(spark, rows, monkeypatch):
+    """Found at 60 times sf0.1: 9 million rows were sent to the driver to be broadcast."""
+    own = joins.strategy_session(spark, "broadcast")
+    left = own.range(3000).select((F.col("id") % 700).alias("k"), "id")
+    right = own.range(500).select(F.col("id").alias("k"), F.concat(F.lit("t"), "id").alias("t"), F.array("id").alias("a"))
+    small = joins.strategy_join(left, right, "k", "broadcast")
+    assert "BroadcastHashJoin" in plan_of(small)
+    for limit in (1000, 500 * 96):  # by the rows alone, and only when their texts are measured
+        monkeypatch.setattr(joins, "broadcast_bytes", lambda spark, limit=limit: limit)
+        large = joins.strategy_join(left, right, "k", "broadcast")
+        assert "SortMergeJoin" in plan_of(large) and "Broadcast" not in plan_of(large)
+        assert rows(large) == rows(small)
+    monkeypatch.setattr(joins, "broadcast_bytes", lambda spark: 500 * 128)
+    assert joins.fits_broadcast(right) and joins.fits_broadcast(right.limit(0))
+
+
 def test_salted_join_refuses_right_rows(spark):
     with pytest.raises(ValueError):
         salted_join(spark.range(1), spark.range(1), "id", how="full")

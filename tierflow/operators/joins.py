@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
 from tierflow.functions.columns import row_hash
 
+#: The part of the smaller heap that a right side's rows, as they are counted and measured, may take to be broadcast:
+#: the driver holds them as collected, as a hash relation and in the blocks that it sends.
+HEAP_PART = 16
+#: Bytes of a row beside its texts and nested values: its place in the hash relation and in a page.
+ROW_BYTES = 48
+
 #: The strategies of strategy_join() and the settings that each has to run under.
 STRATEGIES = {
     "merge": {"spark.sql.adaptive.enabled": "false"},
@@ -45,11 +52,35 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, buckets: int = 16,
     return dealt.join(spread, [key, "_salt"], how).drop("_salt")
 
 
+def broadcast_bytes(spark: SparkSession) -> int:
+    """The most bytes of rows to be broadcast, by the heaps of the driver and the executors."""
+    sc = spark.sparkContext
+    heap = sc._jvm.java.lang.Runtime.getRuntime().maxMemory()
+    if sc.master.split("[")[0] != "local":
+        heap = min(heap, sc._jsc.sc().executorMemory() << 20)
+    return heap // HEAP_PART
+
+
+def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether a frame's rows, each measured, are within the bytes that may be broadcast; nothing but two numbers reaches the driver."""
+    limit = broadcast_bytes(df.sparkSession) if limit is None else limit
+    fixed = ROW_BYTES + 16 * len(df.columns)
+    if df.limit(limit // fixed + 1).count() > limit // fixed:
+        return False
+    rest = [f for f in df.schema.fields if not isinstance(f.dataType, NumericType)]
+    sizes = (F.octet_length(F.col(f"`{f.name}`") if isinstance(f.dataType, StringType) else F.to_json(F.struct(F.col(f"`{f.name}`")))) for f in rest)
+    own = sum((F.coalesce(s, F.lit(0)) for s in sizes), F.lit(fixed))
+    return (df.agg(F.sum(own.cast("long"))).first()[0] or 0) <= limit
+
+
 def strategy_join(left: DataFrame, right: DataFrame, key: str, strategy: str, *, buckets: int = 16) -> DataFrame:
-    """An inner join by a named strategy, for comparing them: of frames of its strategy_session()."""
+    """An inner join by a named strategy, for comparing them: of frames of its strategy_session().
+
+    A right side that is found to be too large for the driver and each executor to hold is merged instead of broadcast.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}; one of {', '.join(STRATEGIES)}")
     if strategy == "salted":
         return salted_join(left, right, key, buckets)
-    hint = "broadcast" if strategy == "broadcast" else "merge"
+    hint = "broadcast" if strategy == "broadcast" and fits_broadcast(right) else "merge"
     return left.join(right.hint(hint), key)
