@@ -41,7 +41,8 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, buckets: int = 16,
 
     The salt is a hash of the row and its place in its partition, not a random number: a task that is
     run again on the same rows deals alike. Only for joins that don't return right rows of their own:
-    those would come once a bucket.
+    those would come once a bucket. It is merged, never broadcast: the planner takes the repeated right
+    side to be as small as the table it is read from.
     """
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"a salted join can't be {how}: unmatched right rows would repeat")
@@ -49,7 +50,7 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, buckets: int = 16,
     lot = F.xxhash64(row_hash(left), F.monotonically_increasing_id())
     dealt = left.withColumn("_salt", F.pmod(lot, F.lit(buckets)).cast("int"))
     spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    return dealt.join(spread, [key, "_salt"], how).drop("_salt")
+    return dealt.join(spread.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def broadcast_bytes(spark: SparkSession) -> int:
