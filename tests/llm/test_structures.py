@@ -102,6 +102,34 @@ def test_components_of_a_long_path(spark):
     assert graph.components(edges.limit(0)).count() == 0
 
 
+def test_small_tables_are_written_in_few_files(spark, monkeypatch):
+    import glob
+
+    from tierflow.llm import base
+
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", 23)
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    docs = session.read.parquet(f"{DATA}/documents.parquet")
+    files = {}
+
+    def settle(df, what):
+        out = base.settle(df, what)
+        files[what] = max(files.get(what, 0), len(glob.glob(out._settled_path.removeprefix("file://") + "/part-*")))
+        return out
+
+    for module in (simhash, graph):
+        monkeypatch.setattr(module, "settle", settle)
+    path = graph.components(session.range(300).selectExpr("id as a", "id + 1 as b"), size=300 * 16)
+    out = simhash.near_duplicates(docs)
+    rows = sorted(out.collect())
+    assert path.count() == 301 and {"nodes", "sizes", "tiles", "reach", "edges", "parents", "least", "components"} <= set(files)
+    assert max(files.values()) == 1 and out.rdd.getNumPartitions() == 1, files
+    monkeypatch.setattr(base, "BROADCAST_BYTES", 0)  # as a large table: dealt as the session says, with the same rows
+    out = simhash.near_duplicates(docs)
+    assert sorted(out.collect()) == rows and files["nodes"] > 1 and out.rdd.getNumPartitions() > 1
+
+
 @pytest.fixture(scope="module")
 def one_cell(spark):
     """Fingerprints of one cell: each word has one bit in each of its halves."""

@@ -17,6 +17,8 @@ from tierflow.sources import scratch
 
 #: The most bytes that a table may have on its way to be broadcast, as its rows are counted and measured.
 BROADCAST_BYTES = 32 << 20
+#: What a task writes of a table that gathered() finds small.
+FILE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +60,15 @@ def settle(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def gathered(df: DataFrame, size: int) -> DataFrame:
+    """`df`, dealt by an exchange, in a partition for each FILE_BYTES of `size`, the most bytes it may have, if it is small enough to be broadcast.
+
+    Else as the session deals it. A small table in hundreds of files costs a task each, and on a local file system the
+    executor's JVM starts processes for each (chmod).
+    """
+    return df.coalesce(size // FILE_BYTES + 1) if size <= BROADCAST_BYTES else df
+
+
 def size_of(df: DataFrame) -> int:
     """Bytes of a settled table's files."""
     return path_bytes(df.sparkSession, df._settled_path)

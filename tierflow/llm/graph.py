@@ -5,7 +5,7 @@ parent, edges are redrawn between parents and made distinct, and loops go. Every
 local minimum leaves; minima are spread at random, whatever the ids mean, so the rounds are few even
 for long paths. The parents of all rounds are then composed from the last to the first. Each round is
 written to the shared folder, so lineage stays short and a lost executor costs a task, not the run.
-Nothing but a row count reaches the driver.
+Nothing but a row count reaches the driver. Small tables are written in few files (see base.gathered).
 
 A hub's edges meet in partial minima before the shuffle; joins on nodes are left to adaptive skew handling.
 
@@ -18,27 +18,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import forget, settle
+from .base import forget, gathered, settle, size_of
 
 
-def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, *, size: int | None = None, max_rounds: int = 60) -> DataFrame:
     """(node, root) for each node that edges(a, b) join to another; nodes of one component share their root.
 
-    The result is a settled table: forget() it when it has been read.
+    size: bytes that the edges have at most, if that is known. The result is a settled table: forget() it when it has been read.
     """
-    edges = settle(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    edges = edges.select("a", "b").where("a <> b").distinct()
+    edges = settle(edges if size is None else gathered(edges, size), "edges")
     levels: list[DataFrame] = []
     for _ in range(max_rounds):
         if edges.isEmpty():
             break
+        size = 2 * size_of(edges)  # each edge both ways; tables of nodes have no more rows
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         first = both.groupBy("a").agg(F.min_by("b", F.xxhash64("b")).alias("m"))
         parent = F.when(F.xxhash64("m") < F.xxhash64("a"), F.col("m")).otherwise(F.col("a"))
-        parents = settle(first.select(F.col("a").alias("node"), parent.alias("p")), "parents")
+        parents = settle(gathered(first.select(F.col("a").alias("node"), parent.alias("p")), size), "parents")
         levels.append(parents)
         pa, pb = parents.toDF("a", "pa"), parents.toDF("b", "pb")
         drawn = edges.join(pa, "a").select("b", F.col("pa")).join(pb, "b").where("pa <> pb")
-        drawn = settle(drawn.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        drawn = settle(gathered(drawn.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), size), "edges")
         forget(edges)
         edges = drawn
     else:
@@ -52,7 +54,7 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     now = roots.toDF("node", "root")
     for parents in reversed(levels):
         up = parents.withColumnRenamed("p", "mid").join(now.toDF("mid", "root"), "mid", "left")
-        now = settle(up.select("node", F.coalesce("root", "mid").alias("root")), "roots")
+        now = settle(gathered(up.select("node", F.coalesce("root", "mid").alias("root")), size_of(parents)), "roots")
         forget(parents, roots)
         roots = now
     now._settled_path = roots._settled_path

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import few, forget, is_few, marked, marks, pieces, row_key, settle, size_of
+from .base import few, forget, gathered, is_few, marked, marks, pieces, row_key, settle, size_of
 from .graph import components
 
 SLICES = 4  # of a 64-bit word, for population counts
@@ -189,12 +189,12 @@ def size_class(n: np.ndarray, similarity: float) -> np.ndarray:
 NODE = "cell long, node long, fp binary, shingles binary"
 
 
-def gangs(nodes: DataFrame, grid: Grid, *, tile: int, gang: int = GANG, most: int = MOST) -> DataFrame:
+def gangs(nodes: DataFrame, grid: Grid, *, tile: int, gang: int = GANG, most: int = MOST, sets: bool = False) -> DataFrame:
     """(cell, gang, guest, near, part, tile) of nodes(NODE), by (cell, gang), a gang's own tiles before its guests.
 
     A hot cell's tiles go to every gang after them: the work is quadratic in a cell, not a task's share of it.
     A gang has `gang` tiles; in a cell of more than GANGS gangs it has more, up to `most`, so a tile is sent
-    to at most GANGS of them until then.
+    to at most GANGS of them until then. sets: nodes have shingles, files of which may be much smaller than what they hold.
     """
     spark = nodes.sparkSession
     nodes = settle(nodes, "nodes")
@@ -202,14 +202,17 @@ def gangs(nodes: DataFrame, grid: Grid, *, tile: int, gang: int = GANG, most: in
     # of components, only of those that are too large for one place
     sizes = nodes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("parts"))
     of_gang = F.greatest(F.lit(gang), F.least(F.lit(most), F.ceil(F.col("parts") / GANGS).cast("int")))
-    sizes = settle(sizes.withColumn("per", of_gang), "sizes")
+    of_nodes = size_of(nodes)
+    sizes = settle(gathered(sizes.withColumn("per", of_gang), of_nodes), "sizes")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
     dealt = nodes.join(F.broadcast(sizes), "cell").select("cell", part, F.struct("node", "fp", "shingles").alias("e"), "per")
     # grouped by tile, so the nodes of a hot cell don't meet before they are in tiles
-    tiles = settle(dealt.groupBy("cell", "part").agg(F.collect_list("e").alias("tile"), F.first("per").alias("per")), "tiles")
+    tiles = dealt.groupBy("cell", "part").agg(F.collect_list("e").alias("tile"), F.first("per").alias("per"))
+    tiles = settle(tiles if sets else gathered(tiles, of_nodes), "tiles")
     to = F.udf(grid.next, "array<long>", useArrow=False)
     reach = sizes.select("cell", F.explode(to("cell")).alias("to")).join(sizes.select(F.col("cell").alias("to"), F.col("parts").alias("there"), "per"), "to")
-    reach = settle(reach.select("cell", "to", "there", "per", F.lit(False).alias("near")).unionByName(sizes.select("cell", F.col("cell").alias("to"), F.col("parts").alias("there"), "per", F.lit(True).alias("near"))), "reach")
+    reach = reach.select("cell", "to", "there", "per", F.lit(False).alias("near")).unionByName(sizes.select("cell", F.col("cell").alias("to"), F.col("parts").alias("there"), "per", F.lit(True).alias("near")))
+    reach = settle(gathered(reach, size_of(sizes) * (len(grid.steps) + 1)), "reach")
     own_gang = F.floor(F.col("part") / F.col("per")).cast("int")
     hosts = tiles.select("cell", own_gang.alias("gang"), F.lit(False).alias("guest"), F.lit(True).alias("near"), "part", "tile")
     first = F.when(F.col("near"), own_gang).otherwise(F.lit(0))
@@ -218,10 +221,12 @@ def gangs(nodes: DataFrame, grid: Grid, *, tile: int, gang: int = GANG, most: in
     # a task for so many tile pairs, of about a million comparisons each, and for so many bytes of tiles that are sent
     there = F.ceil(F.col("there") / F.col("per"))
     pairs, copies, own = reach.join(sizes.drop("per"), "cell").agg(F.sum(F.col("parts").cast("double") * F.col("there")), F.sum(F.col("parts") * there), F.sum(F.when(F.col("near"), F.col("parts")))).first()
-    sent_bytes = size_of(tiles) * (copies or 0) / max(own or 0, 1)
+    of_tiles = size_of(tiles)
+    sent_bytes = of_tiles * (copies or 0) / max(own or 0, 1)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(max((pairs or 0) / 4096, sent_bytes / TASK_BYTES)), 100_000))
     work = hosts.unionByName(sent).repartition(n, "cell", "gang").sortWithinPartitions("cell", "gang", "guest")
     work._tables = [nodes, sizes, tiles, reach]
+    work._links_bytes = 2 * int(of_tiles + sent_bytes)  # a link is 16 bytes, of a node that has 8 at least; a gang finds fewer than it holds and is sent
     return work
 
 
@@ -334,6 +339,7 @@ def compare(work: DataFrame, words: int, radius: int, first: int, accept: Callab
 
     out = work.mapInArrow(run, "a long, b long")
     out._tables = work._tables  # to be forgotten when the links have been read
+    out._bytes = work._links_bytes
     return out
 
 
@@ -357,16 +363,17 @@ def links(nodes: DataFrame, *, radius: int = 2, tile: int = TILE) -> DataFrame:
 def group(docs: DataFrame, *, radius: int = 2, tile: int = TILE) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs: component_id is the smallest doc_id reachable."""
     own = settle(fingerprints(docs), "fingerprints")
-    nodes = settle(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+    size = size_of(own)
+    nodes = settle(gathered(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), size), "nodes")
     found = links(nodes, radius=radius, tile=tile)
-    roots = components(found)
+    roots = components(found, size=found._bytes)
     forget(*found._tables)
     known = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    known = settle(known, "roots")
-    least = settle(known.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
-    named = settle(known.join(least, "root").select("fp", "component_id"), "components")
+    known = settle(gathered(known, size_of(nodes)), "roots")
+    least = settle(gathered(known.groupBy("root").agg(F.min("first_id").alias("component_id")), size_of(known)), "least")
+    named = settle(gathered(known.join(least, "root").select("fp", "component_id"), size_of(known)), "components")
     forget(nodes, roots, known, least)
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    return gathered(own.join(named, "fp").select("doc_id", "fp", "component_id"), size)
 
 
 def near_duplicates(docs: DataFrame, *, radius: int = 2) -> DataFrame:
@@ -480,7 +487,7 @@ def similar_links(own: DataFrame, docs: DataFrame, *, width: int, similarity: fl
     nodes = settle(nodes, "sets")
     slim = nodes.withColumns({"root": F.lit(0).cast("long"), "shingles": F.lit(b"")})
     near = compare(gangs(cells(slim), grid, tile=tile), WIDE, RADIUS, FIRST, None)
-    roots = components(near)
+    roots = components(near, size=near._bytes)
     forget(*near._tables)
     wanted = settle(nodes.join(few(roots), "node").select("root", "node", "n", "fp", "k.k1", "k.k2"), "wanted")
     forget(nodes, roots)
@@ -498,7 +505,7 @@ def similar_links(own: DataFrame, docs: DataFrame, *, width: int, similarity: fl
     known = few(large)
     # exact tests take longer than bit counts: smaller gangs, so a large group of copies is spread
     more = sets.join(known, "root", "left_semi").dropDuplicates(["node"])
-    work = gangs(cells(more), grid, tile=max(1, tile // 4), gang=2, most=2)
+    work = gangs(cells(more), grid, tile=max(1, tile // 4), gang=2, most=2, sets=True)
     spread = compare(work, WIDE, RADIUS, FIRST, lambda a, b: similar(a, b, similarity))
     rest = settle(sets.join(known, "root", "left_anti"), "rest")
     forget(sets)
